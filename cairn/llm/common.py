@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch at most; a batch with one longer row holds that row alone.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The characters that end a word: space and the controls 9 to 13.
 BLANK = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\f\r"
@@ -33,10 +34,17 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and every executor can read it again."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: lineage ends there, and every executor can read it again.
+
+    Its shuffle files go when it is written, as nothing reads them any more."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bound_batches(spark: SparkSession) -> None:
