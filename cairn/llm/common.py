@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The characters that end a word: space and the controls 9 to 13.
-BLANK = r"[\x20\x09-\x0D]"
+BLANK, NOT_BLANK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\f\r"
 
 
