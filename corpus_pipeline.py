@@ -1,28 +1,54 @@
-"""A corpus from raw documents: each stage calls one operator and its result is the next one's input."""
+"""A corpus from raw documents: each stage calls one operator, and its result is the next one's input."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import near_dup
+from cairn.llm import bpe, line_dedup, mixing, near_dup, quality
 from cairn.llm.common import written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned decision list keeps."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten documents or more have."""
+    return line_dedup.without_common_lines(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     return near_dup.one_of_each(docs)
 
 
-STAGES = [("MinHash near-dedup", near_duplicates)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix_documents(docs)
+
+
+def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", common_lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("mixing sources to target weights", source_mix),
+    ("BPE encoding and decoding", byte_pairs),
+]
 
-#: No SQL: near duplicates, a learned decision list and byte pairs aren't expressible; tests/llm has the brute force.
+#: No SQL: a learned decision list and byte pairs aren't expressible; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, "stage")
