@@ -7,10 +7,12 @@ in at most ``errors // chunks`` symbols, and a key is written for every way to l
 At s = 0.85 the default (32 symbols, 15 errors) misses a pair with a chance of 4 in a million.
 
 Texts with equal shingle sets are one class from the start. Within a bucket of classes pairs aren't all written: every
-class is held against the bucket's leaders, a link joins components, a leader leaves the bucket (its links are all
-known), and a bucket whose classes are in one component is done. Rounds take more leaders each until the pairs that are
-left are few, and those are then all compared. So no link between different texts is lost, and a bucket of n near copies
-costs about n comparisons. Links are confirmed on the full sets. Every join is between distributed tables.
+class is held against the bucket's leader (the class that shares most keys with others), a link joins components, the
+leader leaves the bucket (its links are all known), and a bucket whose classes are in one component is done. What is left
+are classes near a group but not in it. They get a second signature of WIDE 2-bit symbols, and the buckets are joined with
+themselves on the distance of those, which lets through pairs just below the similarity at the lowest (a linked pair
+is missed with a chance of one in a million). Links are confirmed on the full sets. So a bucket of n near copies makes
+about n pairs, not n * n, and no link between different texts is lost. Every join is between distributed tables.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and stays. A row without doc_id is
 neither linked nor dropped (component_id null). Rows that share a doc_id are one node. Other columns play no part.
@@ -32,8 +34,11 @@ from . import tokens as T
 from .common import bound_batches, text_of, written
 
 _U = np.uint64
-#: Pairs left over, for each row that the buckets held at first, at which all of them are compared.
-FEW = 4
+#: Pairs of a bucket, for each row that the buckets held at first, up to which second signatures are compared.
+FEW = 500
+#: 2-bit symbols of the second signature; ids that are sent to the executors.
+WIDE, SENT_IDS = 2048, 2_000_000
+_LONGS = WIDE // 32
 #: Parts into which the texts of a leader are dealt.
 SALTS = 16
 
@@ -128,10 +133,10 @@ def signed(docs: DataFrame, how: NearDup) -> DataFrame:
 
 
 def _judge(how: NearDup):
-    """Of pairs of texts, the sizes of both sets and of what they share."""
+    """Of pairs of texts (b follows b), whether their full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None  # rows with the same leader follow each other
+        last, kept = None, None
         for b in batches:
             linked = []
             (data, at), (more, its) = T.buffers(b.column(2)), T.buffers(b.column(3))
@@ -150,30 +155,59 @@ def _judge(how: NearDup):
     return run
 
 
+def _widely_signed(how: NearDup):
+    """The second signature: for each of WIDE permutations two bits of the least shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times, plus = _permutations(WIDE)
+        for b in batches:
+            data, at = T.buffers(b.column(1))
+            for i, j in T.pieces(at):
+                h, rows = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], how.words)
+                longs = np.zeros((j - i, _LONGS), _U)
+                full = np.flatnonzero(np.diff(rows))
+                for k in range(WIDE if len(full) else 0):
+                    two = T.mix(np.minimum.reduceat(h * times[k] + plus[k], rows[:-1][full])) & _U(3)
+                    longs[full, k // 32] |= two << _U(2 * (k % 32))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(longs[:, k].copy().view(np.int64)) for k in range(_LONGS))], ["cid", *(f"w{k}" for k in range(_LONGS))])
+
+    return run
+
+
+def _wide_errors(how: NearDup, symbols: int, deviations: int) -> int:
+    """In how many of so many symbols the second signatures of a linked pair differ, and some standard deviations more."""
+    p = (100 - how.percent) / 100 * 3 / 4
+    return int(symbols * p + deviations * (symbols * p * (1 - p)) ** 0.5) + 1
+
+
 def _near(x, y, how: NearDup):
     """Signatures within the threshold."""
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p != q, 1).otherwise(0)), F.lit(0), lambda s, d: s + d) <= how.errors
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
-    """The links among pairs (a, b), by the full sets; written."""
-    sig = classes.select("cid", "sig")
-    close = (
-        pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("x")), "a")
-        .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y")), "b")
-        .where(_near(F.col("x"), F.col("y"), how))
-        .select("a", "b")
-    )
-    close = written(close, "pairs")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, t (a text of the class) of the wanted classes. Their ids go to the executors while they are few, else the
+    texts are shuffled."""
     texts = docs.select(F.col("doc_id").cast("long").alias("cid"), text_of().alias("t")).where("cid is not null")
-    wanted = close.select(F.col("a").alias("cid")).union(close.select(F.col("b").alias("cid"))).distinct()
-    texts = written(texts.join(wanted, "cid", "left_semi"), "texts")
-    ours = close.join(texts.select(F.col("cid").alias("a"), F.col("t").alias("s")), "a").withColumn("salt", F.pmod(F.hash("a"), F.lit(SALTS)))
+    wanted = written(wanted, "wanted")
+    return written(texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "cid", "left_semi"), "texts")
+
+
+def _within(pairs: DataFrame, classes: DataFrame, how: NearDup) -> DataFrame:
+    """The pairs whose signatures are within the threshold; written."""
+    a, b = (classes.select(F.col("cid").alias(c), F.col("sig").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    return written(pairs.join(a, "a").join(b, "b").where(_near(F.col("x"), F.col("y"), how)).select("a", "b"), "close")
+
+
+def _linked(close: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
+    """The links (a, b) among pairs, by the full sets; written."""
+    texts = _texts(docs, close.select(F.col("a").alias("cid")).union(close.select(F.col("b").alias("cid"))).distinct())
+    salt = F.pmod(F.hash("a"), F.lit(SALTS)).alias("salt")
+    ours = close.join(texts.select(F.col("cid").alias("a"), F.col("t").alias("s")), "a").select("a", "b", "s", salt)
     # A leader's text goes to each of its parts, so that no part holds all its pairs.
-    needed = close.select("b", F.pmod(F.hash("a"), F.lit(SALTS)).alias("salt")).distinct()
-    theirs = needed.join(texts.select(F.col("cid").alias("b"), "t"), "b")
-    found = ours.join(theirs, ["b", "salt"]).select("a", "b", "s", "t").mapInArrow(_judge(how), "a long, b long, linked boolean")
-    return written(found.where("linked").select("a", "b").distinct(), "links")
+    theirs = close.select("b", salt).distinct().join(texts.select(F.col("cid").alias("b"), "t"), "b")
+    both = ours.join(theirs, ["b", "salt"]).select("a", "b", "s", "t").mapInArrow(_judge(how), "a long, b long, linked boolean")
+    return written(both.where("linked").select("a", "b").distinct(), "links")
 
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
@@ -192,6 +226,28 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         at = new.select("node", "comp")
 
 
+def _close_pairs(active: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
+    """a, b of all pairs in a bucket, but not in a component, whose second signatures are close."""
+    names = [f"w{k}" for k in range(_LONGS)]
+    wide = written(_texts(docs, active.select("cid").distinct()).mapInArrow(_widely_signed(how), ", ".join(f"{c} long" for c in ["cid", *names])), "wide")
+    keys = active.groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    one = active.select("key", "cid", "comp").join(wide.join(keys, "cid"), "cid")
+    two = one.withColumnsRenamed({"cid": "b", "comp": "comp_b", "keys": "okeys"} | {c: f"o{c}" for c in names})
+    # Of each symbol that differs, the lower bit is set.
+    apart = [f"bit_count(({c} ^ o{c} | shiftrightunsigned({c} ^ o{c}, 1)) & 6148914691236517205L)" for c in names]
+    first, rest = " + ".join(apart[: _LONGS // 4]), " + ".join(apart)
+    # Most pairs differ too much in the first quarter already.
+    close = f"{first} <= {_wide_errors(how, WIDE // 4, 6)} and {rest} <= {_wide_errors(how, WIDE, 5)}"
+    pairs = one.join(two, "key").where(f"cid > b and comp <> comp_b and {close}")
+    # A pair that meets in several buckets is taken in the first.
+    pairs = pairs.where("array_intersect(keys, okeys)[0] = key")
+    return written(pairs.select(F.col("cid").alias("a"), "b").distinct(), "candidates")
+
+
+def _also(old: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if old is None else old.union(more)
+
+
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the component's smallest doc_id); a row for each row of docs."""
     signs = signed(docs, how)
@@ -202,36 +258,33 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     s = F.col("sig")
     keys = [F.xxhash64(F.lit(i), *(s[p] for p in kept)) for i, kept in enumerate(how.left_out())]
     rows = classes.select("cid", F.explode(F.array(*keys)).alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    active = written(rows.join(shared, "key"), "buckets").withColumn("comp", F.col("cid"))
-    links, tested, leaders = None, None, 1
-    size = few = active.count()
-    while size:
-        left = active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
-        other = active.select("key", F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-        last = left <= FEW * few + 10_000
-        if last:
-            pairs = active.join(other, "key").where("cid > b and comp <> comp_b")
-        else:
-            part = F.pmod(F.xxhash64("cid", "key"), F.lit(leaders))
-            first = written(active.groupBy("key", part.alias("part")).agg(F.min("cid").alias("b"), F.min_by("comp", "cid").alias("comp_b")).drop("part"), "leaders")
-            pairs = active.join(first, "key").where("cid <> b and comp <> comp_b")
-        pairs = pairs.select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b")).distinct()
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    active = written(rows.join(shared, "key"), "buckets")
+    degree = active.groupBy("cid").agg(F.sum("n").alias("degree"))
+    active = active.join(degree, "cid").select("key", "cid", F.col("cid").alias("comp"), "degree")
+    links, tested, parts = None, None, 1
+    few = left = active.count()
+    while left:
+        part = F.pmod(F.xxhash64("cid", "key"), F.lit(parts))
+        best = F.min(F.struct((-F.col("degree")).alias("d"), F.col("cid"), F.col("comp")))
+        leaders = written(active.groupBy("key", part.alias("part")).agg(best.alias("l")).select("key", F.col("l.cid").alias("b"), F.col("l.comp").alias("comp_b")), "leaders")
+        pairs = active.join(leaders, "key").where("cid <> b and comp <> comp_b").select(F.col("cid").alias("a"), "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "candidates")
-        found = _confirmed(pairs, classes, docs, how)
-        links = found if links is None else links.union(found)
-        if last:
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        comp = components(links)
-        active = active.drop("comp").join(first.select("key", F.col("b").alias("cid")), ["key", "cid"], "left_anti")
-        active = active.join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        links = _also(links, _linked(_within(pairs, classes, how), docs, how))
+        tested = _also(tested, pairs)
+        active = active.drop("comp").join(leaders.select("key", F.col("b").alias("cid")), ["key", "cid"], "left_anti")
+        active = active.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"), "degree")
+        active = written(active, "buckets")
         mixed = active.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         active = written(active.join(mixed, "key"), "buckets")
-        leaders *= 4
-        size = active.count()
+        left = active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
+        if left <= FEW * few:
+            break
+        parts *= 4
+    if left:
+        links = _also(links, _linked(_close_pairs(active, docs, how), docs, how))
     out = signs.select("doc_id", "n_shingles", "d1", "d2")
     if links is None:
         named = classes.select("d1", "d2", F.col("cid").alias("comp"))
