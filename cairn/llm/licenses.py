@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in DataFrame operations alone.
 
-A text is brought to words (A-Z lower-cased, all between words one space). A rule is a label, a priority, a keyword and a
-regular expression over words. Few documents pass the gate, a handful of substrings one of which every keyword holds;
-in those a rule's expression runs only if its keyword occurs. Every match is an interval. A match that lies within a
+A text is brought to words (A-Z lower-cased, all between words one space). A rule is a label, a priority, a regular
+expression over words, and a keyword: a literal that every match must hold. Few documents pass the gate, a handful of
+substrings one of which every match holds; in those a rule's expression runs only if its keyword occurs. Every match is an interval. A match that lies within a
 match of the same or a better priority is suppressed, so "general public license version 2" doesn't also count as
 "public license", nor "cc by nc 4 0" as "cc by". Matches that merely overlap both stay.
 
@@ -26,12 +26,12 @@ from .common import text_of
 #: What stands between words, before A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-_PHRASE = "(?<= )(?:" + "|".join(PHRASES) + ")(?= )"
+_PHRASE = " (?:" + "|".join(PHRASES) + ")(?= )"
 PHRASE_SCORE = 0.5
 #: By priority: a tag, a full name, a short name after "under", a general statement.
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.75, 4: 0.5}
-#: Every keyword holds one of these.
-GATE = ("licen", "copyright", "reserved", "cc by", "cc0", "spdx", "public domain", "copyleft", "confidential", "warranty", "redistribut", "proprietary", "opensource org")
+#: Every match holds one of these.
+GATE = ("licen", "copyright", "reserved", "cc by", "cc0", "creative commons", "spdx", "public domain", "copyleft", "confidential", "warrant", "redistribut", "proprietary", "opensource org", "bsd", " under ", "free of charge")
 
 
 class Rule(NamedTuple):
@@ -97,25 +97,52 @@ CC_PARTS = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial",
 CC_KINDS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0", "")
 STATEMENTS = (
-    ("copyright", 4, "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*"),
-    ("reserved", 4, "reserved", "(?:all|no|some) rights(?: are)? reserved"),
-    ("public-domain", 3, "public domain", "(?:placed in|released into|dedicated to|in) the public domain"),
-    ("public-domain", 4, "public domain", "public domain"),
-    ("copyleft", 4, "copyleft", "copyleft"),
-    ("proprietary", 3, "proprietary", "proprietary (?:software|and confidential|license|information)"),
-    ("proprietary", 3, "confidential", "confidential (?:and|or) proprietary"),
-    ("no-redistribution", 3, "redistribut", "(?:may|must) not (?:be )?(?:copied(?: or)? )?redistributed?"),
-    ("mit", 2, "warranty", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", 2, "redistribut", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("no-warranty", 4, "warranty", "(?:without|no) warrant(?:y|ies)(?: of any kind)?"),
-    ("as-is", 4, "warranty", "provided as is without warranty"),
-    ("osi-approved", 3, "opensource org", "opensource org licenses [a-z0-9 ]{2,20}"),
-    ("licensed", 4, "licen", "(?:re)?licen[sc]ed under(?: the)?(?: terms of)?(?: the)? [a-z0-9]+"),
-    ("license-terms", 4, "licen", "subject to the terms (?:and conditions )?of th(?:e|is) licen[sc]e"),
-    ("free-license", 4, "licen", "free software licen[sc]e"),
+    ("copyright", 4, "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*"),
+    ("reserved", 4, "(?:all|no|some) rights(?: are)? reserved"),
+    ("public-domain", 3, "(?:placed in|released into|dedicated to|in) the public domain"),
+    ("public-domain", 4, "public domain"),
+    ("copyleft", 4, "copyleft"),
+    ("proprietary", 3, "proprietary (?:software|and confidential|license|information)"),
+    ("proprietary", 3, "confidential (?:and|or) proprietary"),
+    ("no-redistribution", 3, "(?:may|must) not (?:be )?(?:copied(?: or)? )?redistributed?"),
+    ("mit", 2, "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("bsd", 2, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("no-warranty", 4, "(?:without|no) warrant(?:y|ies)(?: of any kind)?"),
+    ("as-is", 4, "provided as is without warranty"),
+    ("osi-approved", 3, "opensource org licenses [a-z0-9 ]{2,20}"),
+    ("licensed", 4, "(?:re)?licen[sc]ed under(?: the)?(?: terms of)?(?: the)? [a-z0-9]+"),
+    ("license-terms", 4, "subject to the terms (?:and conditions )?of th(?:e|is) licen[sc]e"),
+    ("free-license", 4, "free software licen[sc]e"),
 )
 
 
+def keyword(pattern: str) -> str:
+    """The longest literal that every match of a pattern holds, if it is no more than "under" or "licence" a worse one."""
+    plain, depth, k = [""], 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "(":
+            depth += 1
+            plain.append("")
+        elif c == ")":
+            depth -= 1
+            plain.append("")
+        elif c == "[":
+            k = pattern.index("]", k)
+            plain.append("")
+        elif c in "?*+":
+            if plain[-1]:
+                plain[-1] = plain[-1][:-1]
+            plain.append("")
+        elif c == "{":
+            k = pattern.index("}", k)
+            plain.append("")
+        elif not depth:
+            plain[-1] += c
+        k += 1
+    return max(plain, key=lambda x: (x.strip() not in ("under", "licen", "e"), len(x)))
+
+
 def _version(v: str) -> str:
     """1.0 as "version 1 0", "v1 0", "1" and the like."""
     major, _, minor = v.partition(".")
@@ -126,24 +153,23 @@ def rules() -> list[Rule]:
     """All rules, best priority first: for each name and version a tag, the full name and the short name."""
     out = []
     for stem, full, short, versions in FAMILIES:
-        word = "licen" if "licen" in full else "cc0" if stem == "cc0" else "licen"
         for v in versions:
             label = f"{stem}-{v}" if v else stem
             tail = _version(v) if v else ""
             tag = stem.replace("-", " ") + (" " + v.replace(".", " ") if v else "")
-            out.append(Rule(label, 1, "spdx", f"spdx license identifier {tag}(?: only| or later)?"))
-            out.append(Rule(label, 2, word, full + tail + ("(?: or later)?" if v else "")))
-            out.append(Rule(label, 3, "licen", f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{short}{tail}"))
+            out.append((label, 1, f"spdx license identifier {tag}(?: only| or later)?"))
+            out.append((label, 2, full + tail + ("(?: or later)?" if v else "")))
+            out.append((label, 3, f"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{short}{tail}"))
     for kind in CC_KINDS:
         parts = kind.split("-")
         for v in CC_VERSIONS:
             label, tail = f"cc-{kind}" + (f"-{v}" if v else ""), _version(v) if v else ""
             short = " ".join(parts)
-            out.append(Rule(label, 1, "cc by", f"cc {short}{tail}"))
-            out.append(Rule(label, 2, "licen", "creative commons " + " ".join(CC_PARTS[p] for p in parts) + f"(?: licen[sc]e)?(?: international| unported)?{tail}"))
-            out.append(Rule(label, 2, "licen", f"creativecommons org licenses {short}" + (f" {v.replace('.', ' ')}" if v else "")))
-    out += [Rule(*s) for s in STATEMENTS]
-    return sorted(out, key=lambda r: r.priority)
+            out.append((label, 1, f"cc {short}{tail}"))
+            out.append((label, 2, "creative commons " + " ".join(CC_PARTS[p] for p in parts) + f"(?: licen[sc]e)?(?: international| unported)?{tail}"))
+            out.append((label, 2, f"creativecommons org licenses {short}" + (f" {v.replace('.', ' ')}" if v else "")))
+    out += STATEMENTS
+    return sorted((Rule(label, priority, keyword(pattern), pattern) for label, priority, pattern in out), key=lambda r: r.priority)
 
 
 def _as_words(text):
@@ -152,7 +178,7 @@ def _as_words(text):
 
 
 def _n_words(spaced):
-    """Of a piece that begins and ends with a space: its spaces but one."""
+    """Of spaced words: their spaces but one."""
     return (F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1).cast("long")
 
 
@@ -173,14 +199,18 @@ def _words(docs: DataFrame) -> DataFrame:
 
 def detections(docs: DataFrame) -> DataFrame:
     """doc_id, th, label, priority, start, end (in characters of the spaced words), suppressed, of every match."""
-    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")) for r in rules()))
-    d = _words(docs).where("u is not null").select("doc_id", "th", "u")
-    d = d.select("*", F.explode(F.filter(table, lambda r: F.contains(F.col("u"), r["keyword"]))).alias("r")).where(F.regexp("u", F.col("r.pattern")))
-    d = d.select("doc_id", "th", "r.label", "r.priority", F.split("u", F.col("r.pattern"), -1).alias("gaps"), F.regexp_extract_all("u", F.col("r.pattern"), F.lit(0)).alias("hits"), F.col("r.pattern").alias("p"))
-    d = d.select("doc_id", "th", "label", "priority", "p", F.posexplode(F.arrays_zip(F.transform("gaps", lambda g: F.char_length(g)).alias("g"), F.transform("hits", lambda h: F.char_length(h)).alias("h"))).alias("k", "x")).where("x.h is not null")
+    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern")) for r in rules()))
+    # Outer generators: before others Spark puts a filter that would work out their whole input once more.
+    d = _words(docs).select("doc_id", "th", "u")
+    d = d.select("*", F.explode_outer(F.filter(table, lambda r: F.contains(F.col("u"), r["keyword"]))).alias("r")).where("r is not null")
+    d = d.select("doc_id", "th", "r.label", "r.priority", "u", F.col("r.pattern").alias("p"), F.regexp_extract_all("u", F.col("r.pattern"), F.lit(0)).alias("hits"))
+    d = d.withColumn("gaps", F.when(F.size("hits") > 0, F.split("u", F.col("p"), -1)))
+    sizes = F.arrays_zip(F.transform("gaps", lambda g: F.char_length(g)).alias("g"), F.transform("hits", lambda h: F.char_length(h)).alias("h"))
+    d = d.select("doc_id", "th", "label", "priority", "p", F.posexplode_outer(sizes).alias("k", "x")).where("x.h is not null")
+    d = d.select("doc_id", "th", "label", "priority", "p", "k", "x.g", "x.h").distinct()  # repeated rows count once
     upto = W.partitionBy("doc_id", "th", "p").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
-    end = F.sum(F.col("x.g") + F.col("x.h")).over(upto)
-    d = d.select("doc_id", "th", "label", "priority", end.alias("end"), (end - F.col("x.h")).alias("start")).distinct()
+    end = F.sum(F.col("g") + F.col("h")).over(upto)
+    d = d.select("doc_id", "th", "label", "priority", end.alias("end"), (end - F.col("h")).alias("start"))
     earlier = W.partitionBy("doc_id", "th").orderBy("start", F.col("end").desc(), "priority", "label").rowsBetween(W.unboundedPreceding, -1)
     inside = F.lit(False)
     for p in CONFIDENCE:
@@ -193,14 +223,14 @@ def scanned(docs: DataFrame) -> DataFrame:
     d = _words(docs).withColumn("hits", F.when(F.col("u").isNotNull(), F.regexp_extract_all("u", F.lit(_PHRASE), F.lit(0))))
     d = d.withColumn("gaps", F.when(F.size("hits") > 0, F.split("u", _PHRASE, -1)))
     n = F.when(F.col("w") == "  ", F.lit(0)).otherwise(_n_words(F.col("w"))).cast("long")
-    tail = F.size(F.split(F.element_at("hits", -1), " ")) + _n_words(F.element_at("gaps", -1))
-    named = [F.when(F.array_contains("hits", p), F.lit(label)) for p, label in PHRASES.items()]
+    tail = F.size(F.split(F.element_at("hits", -1), " ")) - 1 + _n_words(F.element_at("gaps", -1))
+    named = [F.when(F.array_contains("hits", " " + p), F.lit(label)) for p, label in PHRASES.items()]
     base = d.select(
         "doc_id",
         "th",
         n.alias("n_words"),
         F.coalesce(F.when(F.size("hits") > 0, F.size("hits")), F.lit(0)).cast("long").alias("n_base"),
-        F.when(F.size("hits") > 0, _n_words(F.element_at("gaps", 1))).alias("first_word"),
+        F.when(F.size("hits") > 0, _n_words(F.element_at("gaps", 1)) + 1).cast("long").alias("first_word"),
         F.when(F.size("hits") > 0, n - tail).cast("long").alias("last_word"),
         F.when(F.size("hits") > 0, F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))).otherwise(F.array().cast("array<string>")).alias("base"),
     )
