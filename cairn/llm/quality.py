@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import NOT_BLANK, let, text_of, words_of
 
-#: Labelled documents of each kind at most; thresholds tried for a statistic; rules and conditions at most.
-SAMPLE, CUTS, RULES, CONDITIONS = 4000, 48, 12, 4
+#: Labelled documents of each kind at most; rules and conditions at most.
+SAMPLE, RULES, CONDITIONS = 4000, 12, 4
 #: Share of right rejections that a rule needs, and how many documents it must cover.
 PRECISION, COVER = 0.95, 5
 WINDOW = 8
@@ -130,28 +130,46 @@ def _all(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return held
 
 
+def _best_cut(v: np.ndarray, bad: np.ndarray, above: bool, before: float) -> tuple[float, float]:
+    """Of all thresholds of a statistic the one with the greatest gain, and the gain."""
+    order = np.argsort(-v if above else v, kind="stable")
+    v, p = v[order], np.cumsum(bad[order])
+    last = np.flatnonzero(np.append(v[1:] != v[:-1], True))  # equal values go together
+    n, p = last + 1, p[last]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(p > 0, p * (np.log2(p / n) - before), 0.0)
+    k = int(np.argmax(gain))
+    return float(v[last[k]]), round(float(gain[k]), 9)
+
+
 def _grown(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     """Adds the condition of the greatest gain until a rule covers no good document or nothing gains."""
     rule: list[Condition] = []
     held = np.ones(len(bad), bool)
     while len(rule) < CONDITIONS and (held & ~bad).any():
         p, n = (held & bad).sum(), held.sum()
-        best, gain = None, 1e-9
+        best, worth = None, (1e-9, -1.0)
         for name, v in x.items():
-            cuts = np.unique(np.quantile(v[held], np.linspace(0, 1, CUTS + 1)))
-            for c in cuts:
-                for above in (True, False):
-                    now = held & (v >= c if above else v <= c)
-                    p1, n1 = (now & bad).sum(), now.sum()
-                    if p1 and (g := p1 * (math.log2(p1 / n1) - math.log2(p / n))) > gain:
-                        best, gain = Condition(name, above, float(c)), g
+            for above in (True, False):
+                cut, gain = _best_cut(v[held], bad[held], above, math.log2(p / n))
+                if gain >= worth[0]:  # of equal ones, that with the widest gap
+                    c = Condition(name, above, cut)
+                    gap = abs(_midway(c, v[held]).cut - cut) / (float(v[held].std()) or 1.0)
+                    if (gain, gap) > worth:
+                        best, worth = c, (gain, gap)
         if best is None:
             break
-        rule.append(best)
+        rule.append(best := _midway(best, x[best.name][held]))
         held &= best.holds(x)
     return tuple(rule)
 
 
+def _midway(c: Condition, v: np.ndarray) -> Condition:
+    """The threshold moved half the way to the next value beyond it, so that it doesn't cling to the sample."""
+    beyond = v[v < c.cut] if c.above else v[v > c.cut]
+    return Condition(c.name, c.above, float((c.cut + (beyond.max() if c.above else beyond.min())) / 2)) if len(beyond) else c
+
+
 def _pruned(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     """The beginning of the rule that is worth most on documents it wasn't grown on."""
 
@@ -209,7 +227,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[d
         part = own.where(F.col("quality") == q).orderBy("o", "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     # At most 2 * sample rows.
-    named = docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("__id")).distinct()), docs["doc_id"].cast("long") == F.col("__id")).select(docs["doc_id"], docs["text"])
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    named = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
     rows = counted(named).where("not base_failed").join(F.broadcast(chosen), "doc_id").orderBy("o", "doc_id", "quality", *sorted({c for pair in RATES.values() for c in pair})).limit(2 * sample).collect()
     return [r.asDict() for r in rows]
 
