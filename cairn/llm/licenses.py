@@ -117,7 +117,8 @@ STATEMENTS = (
 
 
 def keyword(pattern: str) -> str:
-    """The longest literal that every match of a pattern holds, if it is no more than "under" or "licence" a worse one."""
+    """The longest literal that every match of a pattern holds, though "under" and "licence" only if there is no other; else "".
+    """
     plain, depth, k = [""], 0, 0
     while k < len(pattern):
         c = pattern[k]
