@@ -33,14 +33,14 @@ from .common import bound_batches, text_of, written
 
 _U = np.uint64
 FREQUENT = 1e-4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Rounds of expectation-maximisation, and cells for each factor of ten of a probability.
 ROUNDS, GRID = 40, 20
 #: The end of a text as a word; contexts and classes are numbered from 1 for frequent words.
 END = np.int64(0x3C6EF372FE94F82A)
 RARE, START = 0, 1 << 30
 #: Tokens counted together before they leave a worker.
-COUNT_TOGETHER = 4 << 20
+COUNT_TOGETHER = 2 << 20
 _SHIFT = 31
 
 
@@ -256,6 +256,7 @@ def _learn(w: Weights, words: DataFrame, pairs: DataFrame, of_ctx: list, top: li
 
     For a rare word both estimates are in proportion to its count, so the held-out counts of the rare class are spread
     over the counts of its words."""
+    w.mix = np.full((64, 3), 1 / 3)
     if not fit:
         return
     learner = Weights(fit, fit_kinds, fit - int(top_fit.sum()), {})
@@ -289,5 +290,3 @@ def _learn(w: Weights, words: DataFrame, pairs: DataFrame, of_ctx: list, top: li
         b, p2, p1, m = (np.array(x) for x in zip(*rows, strict=True))
         learner.learn(b.astype(np.int64).clip(0, 63), p2.astype(float), p1.astype(float), m.astype(float))
         w.mix = learner.mix
-    else:
-        w.mix = np.full((64, 3), 1 / 3)
