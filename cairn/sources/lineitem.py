@@ -36,7 +36,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
   l_discount AS extra_discount
 FROM {table}
 """
-SPARK_EPOCH = "CAST(unix_timestamp(CAST(l_shipdate AS TIMESTAMP)) AS DOUBLE)"
+#: Whatever the session's time zone: the column has none.
+SPARK_EPOCH = "CAST(unix_date(CAST(l_shipdate AS DATE)) * 86400L + hour(l_shipdate) * 3600 + minute(l_shipdate) * 60 + second(l_shipdate) AS DOUBLE)"
 DUCKDB_EPOCH = "CAST(epoch(l_shipdate) AS DOUBLE)"
 
 
