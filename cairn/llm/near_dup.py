@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import bound_batches, text_of, written
+from .common import bound_batches, text_of, words_of, written
 
 _U = np.uint64
 #: Pairs of a bucket, for each row that the buckets held at first, up to which second signatures are compared.
@@ -297,8 +297,19 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
 def one_of_each(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """docs without those that another document of their component stands for; all columns stay.
 
-    A repeated row (same doc_id) stays repeated only if its text is blank."""
-    judged = near_duplicates(docs, how)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    return kept
+    Of several rows with the doc_id that stays, the one with the least text does. Rows that are linked with nothing (blank
+    texts, no doc_id) all stay."""
+    judged = written(near_duplicates(docs, how), "judged")
+    own = docs["doc_id"].cast("long")
+    gone = judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(gone, own == gone["__id"], "left_anti")
+    again = judged.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    again = written(again.select(F.col("doc_id").alias("__id")), "repeated")
+    if again.isEmpty():
+        return kept
+    blank = F.size(words_of(text_of(docs["text"]))) == 0
+    once = kept.join(again, own == again["__id"], "left_anti")
+    rows = kept.join(again, own == again["__id"], "left_semi")
+    row = F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    first = rows.where(~blank).groupBy(own.alias("doc")).agg(F.min_by(row, docs["text"]).alias("row"))
+    return once.union(rows.where(blank)).union(first.select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns))))

@@ -111,3 +111,11 @@ def test_one_of_each_keeps_all_columns(spark):
     kept = N.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, None]
+
+
+def test_repeated_rows_stay_once(spark):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, "quite another text is here"), (3, "quite another text is here"), (3, "and one more of this number"), (4, ""), (4, ""), (None, "x y z"), (None, "x y z")]
+    docs = documents(spark, rows, clashing=True)
+    kept = N.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, rows[0][1]), (3, rows[5][1]), (4, ""), (4, ""), (None, "x y z"), (None, "x y z")], key=repr)
