@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
 from .functions import geometry
 from .functions.geometry import Area
 from .operators import apply, stats, thinning, tiling
+from .operators.paging import PointPages
 from .plans.filters import Filter
 from .schema import Order
 
@@ -25,6 +26,20 @@ class PointCloud:
     seed: int = 0
     whole: dict | None = None
 
+    @staticmethod
+    def of(spark: SparkSession, data, **options) -> PointCloud:
+        """From a DataFrame, a pandas table, columns by name, or a result with ``data``; names are made standard."""
+        if isinstance(data, PointCloud):
+            return data
+        if isinstance(data, dict) and "data" in data:
+            data = data["data"]
+        if isinstance(data, dict):
+            import pandas as pd
+
+            data = pd.DataFrame(data)
+        df = data if isinstance(data, DataFrame) else spark.createDataFrame(data)
+        return PointCloud(schema.with_standard_names(df), **options)
+
     @staticmethod
     def read(spark: SparkSession, path: str, **options) -> PointCloud:
         """From an octree file or several (options as those of the format)."""
@@ -102,13 +117,21 @@ class PointCloud:
     def bounds(self) -> DataFrame:
         return stats.bounds(self.df)
 
-    def pages(self, rows: int = 10_000) -> Iterator[list[Row]]:
+    def pages(self, rows: int = 10_000) -> PointPages:
         """Points in order, page by page; partitions come to the driver one after the other."""
-        page: list[Row] = []
-        for r in self.df.orderBy(*self.order.by()).toLocalIterator(prefetchPartitions=True):
-            page.append(r)
-            if len(page) == rows:
-                yield page
-                page = []
-        if page:
-            yield page
+        return PointPages(self.df, self.order, rows)
+
+    def write(self, path: str, filter: str | None = None, **options) -> None:
+        """Octree files, one for each task with points; names are made standard and the filter applied first."""
+        from .sources import datasource
+
+        datasource.register(self.df.sparkSession)
+        df = Filter.parse(filter).where(schema.with_standard_names(self.df))
+        if not {"X", "Y", "Z"} <= set(df.columns):
+            raise ValueError("the columns X, Y, Z are needed")
+        if df.isEmpty():
+            raise ValueError("0 points are left to write")
+        writer = df.write.format("cairn_octree").mode("append").option("path", path)
+        for k, v in options.items():
+            writer = writer.option(k, str(v))
+        writer.save()

@@ -10,14 +10,13 @@ select (letters), codec, partitionPoints, mode (FAILFAST or PERMISSIVE). Writing
 from __future__ import annotations
 
 import os
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..schema import selected, struct_type
 from . import las
@@ -65,7 +64,7 @@ class OctreeSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return OctreeReader(self.paths(), schema, dict(self.options))
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return OctreeWriter(schema, dict(self.options), overwrite)
 
 
@@ -123,7 +122,7 @@ class _Written(WriterCommitMessage):
         self.files = files
 
 
-class OctreeWriter(DataSourceWriter):
+class OctreeWriter(DataSourceArrowWriter):
     """A file for each task with rows, ``part-NNNNN.copc.las`` in a folder; points are written by node within it."""
 
     def __init__(self, schema: T.StructType, options: dict, overwrite: bool):
@@ -132,18 +131,18 @@ class OctreeWriter(DataSourceWriter):
         if os.path.isdir(self.folder) and os.listdir(self.folder) and not overwrite:
             raise FileExistsError(f"{self.folder} isn't empty")
         self.old = [os.path.join(self.folder, n) for n in os.listdir(self.folder)] if os.path.isdir(self.folder) else []
-        pickle.dumps(self.names)
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
 
-        rows = list(rows)
-        if not rows:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return _Written([])
+        table = pa.Table.from_batches(found)
         os.makedirs(self.folder, exist_ok=True)
         context = TaskContext.get()
         name = os.path.join(self.folder, f"part-{context.partitionId():05d}-{context.taskAttemptId()}.copc.las")
-        columns = {c: np.array([r[k] for r in rows]) for k, c in enumerate(self.names)}
+        columns = {c: table.column(k).to_numpy() for k, c in enumerate(self.names)}
         depth = self.options.get("maxdepth")
         with open(name + ".tmp", "w+b") as f:
             las.write(f, columns, None if depth is None else int(depth), self.options.get("wkt"), codec=self.options.get("codec", "raw"), layout=self.options.get("layout", "leaf"))

@@ -7,12 +7,14 @@ import logging
 import os
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crs
-from ..operators import stats
+from ..operators import pyramid, stats
 from ..operators.catalog import SCHEMA, Catalog, header, row
+from ..schema import Order
 from . import datasource, las
 from .ranges import is_url
 
@@ -37,9 +39,40 @@ def _relative(path: str, folder: str) -> str:
     return r if r.startswith("..") else f"./{r}"
 
 
-def write(spark: SparkSession, paths: Sequence[str], output: str, boundary: bool = False, statistics: bool = False, max_depth: int = -1) -> str:
+def overviews(spark: SparkSession, paths: Sequence[str], output: str, levels: int = 1, order: Order = Order(("X", "Y", "Z", "gpstime"))) -> dict[str, str]:
+    """Writes thinned tiles of all files beside ``output``, a file each: the files by the names of their assets.
+
+    Tiles go to tasks; each writes its own, so the folder must be one that all machines share."""
+    heads = [header(p) for p in paths]
+    extent = tuple(f(h_[k] for h_ in ([h.low for h in heads] if f is min else [h.high for h in heads])) for f in (min, max) for k in (0, 1))
+    base = os.path.splitext(os.path.basename(output))[0]
+    folder = os.path.join(os.path.dirname(os.path.abspath(output)), f"{base}_overviews")
+    os.makedirs(folder, exist_ok=True)
+    datasource.register(spark)
+    points = spark.read.format("cairn_octree").option("path", ",".join(paths)).load().drop("level")
+    out: dict[str, str] = {}
+
+    def writer(level: int):
+        def tile(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+            name = f"L{level}_{key[0] % 2**level}_{key[0] // 2**level}"
+            path = os.path.join(folder, f"{base}-overview-{name}.copc.las")
+            with open(f"{path}.tmp", "w+b") as f:
+                las.write(f, {c: t[c].to_numpy() for c in t.columns if c not in ("tile", "overview_level")})
+            os.replace(f"{path}.tmp", path)
+            return pd.DataFrame({"name": [name], "path": [path]})
+
+        return tile
+
+    for level in range(levels):
+        done = pyramid.overview(points, extent, level, order).groupBy("tile").applyInPandas(writer(level), "name string, path string")
+        for r in done.collect():  # a row for each tile
+            out["overview" if level == 0 else f"overview-{r['name']}"] = r["path"]
+    return out
+
+
+def write(spark: SparkSession, paths: Sequence[str], output: str, boundary: bool = False, statistics: bool = False, max_depth: int = -1, overview: bool | str = False, overview_levels: int = 1) -> str:
     """Lists files in ``output``; boundary is the hull of each file's points, else its box. Statistics are over all its points
-    down to max_depth."""
+    down to max_depth. overview makes thinned tiles, or names a file that has them."""
     folder = os.path.dirname(os.path.abspath(output))
     features = []
     datasource.register(spark)
@@ -67,6 +100,9 @@ def write(spark: SparkSession, paths: Sequence[str], output: str, boundary: bool
         features.append({"type": "Feature", "stac_version": STAC_VERSION, "stac_extensions": ["https://stac-extensions.github.io/pointcloud/v1.0.0/schema.json", "https://stac-extensions.github.io/projection/v1.1.0/schema.json"], "id": os.path.splitext(os.path.basename(path))[0], "geometry": geometry, "bbox": box, "properties": properties, "links": [], "assets": {"data": {"href": _relative(path, folder), "roles": ["data"]}}})
     if not features:
         raise ValueError("no files to list")
+    made = overviews(spark, paths, output, overview_levels) if overview is True else {"overview": overview} if overview else {}
+    for item in features:
+        item["assets"] |= {key: {"href": _relative(path, folder), "roles": ["overview"]} for key, path in made.items()}
     with open(output, "w", encoding="utf-8") as f:
         json.dump({"type": "FeatureCollection", "features": features}, f)
     return output

@@ -82,7 +82,17 @@ def test_the_fixed_order_of_a_query(spark):
     assert cloud.query(bbox=(-5, -5, 5, 5), aoi=(0, 0, 1, 1)).df.count() == cloud.bbox(-5, -5, 5, 5).df.count()
     assert cloud.query(filter="-keep_voxel 5").df.count() == cloud.thin(5).df.count()
     assert cloud.query(zrange=(2, 3), select="xyz").df.columns == ["X", "Y", "Z", "id"]
-    assert sum(len(p) for p in cloud.pages(150)) == 400 and [r.id for r in next(cloud.pages(3))] == [0, 1, 2]
+
+
+def test_pages(spark):
+    pages = PointCloud(points(spark), ORDER).pages(150)
+    assert pages.has_next() and [r.id for r in pages.yield_page()] == list(range(150))
+    assert pages.progress() == {"total_points": 400, "yielded": 150, "remaining": 250, "page_rows": 150}
+    assert [len(p) for p in pages] == [150, 100] and not pages.has_next() and pages.yield_page() is None
+    pages.reset()
+    assert sum(len(p) for p in pages) == 400 and pages.collect(7).count() == 7 and "400" in repr(pages)
+    with pytest.raises(ValueError):
+        PointCloud(points(spark), ORDER).pages(0)
 
 
 def test_pruning_reaches_the_scan(spark, tmp_path):

@@ -196,6 +196,32 @@ def test_virtual_point_clouds(spark, folder):
         vpc.read(spark, out)
 
 
+def test_overviews(spark, folder, tmp_path):
+    out = str(tmp_path / "o.vpc")
+    paths = [f"{folder}/a.copc.las", f"{folder}/b.copc.las"]
+    vpc.write(spark, paths, out, overview=True, overview_levels=2)
+    with open(out) as f:
+        assets = json.load(f)["features"][0]["assets"]
+    assert {"data", "overview", "overview-L1_0_0"} <= set(assets) and assets["overview"]["href"] == "./o_overviews/o-overview-L0_0_0.copc.las"
+    assert catalog.header(str(tmp_path / assets["overview"]["href"])).points == 35
+    finer = sum(catalog.header(str(tmp_path / a["href"])).points for k, a in assets.items() if k.startswith("overview-L1"))
+    assert 140 <= finer <= 144
+    assert vpc.read(spark, out).files.count() == 2
+
+
+def test_clouds_of_anything(spark, folder, tmp_path):
+    c = columns(100)
+    cloud = PointCloud.of(spark, {"data": {"x": c["X"], "y": c["Y"], "z": c["Z"], "class": c["Classification"]}})
+    assert cloud.df.columns == ["X", "Y", "Z", "Classification"] and PointCloud.of(spark, cloud) is cloud
+    cloud.write(str(tmp_path / "out"), filter="-keep_class 2 3 4 5")
+    paths = ",".join(str(p) for p in (tmp_path / "out").iterdir())
+    assert PointCloud.read(spark, paths).df.count() == np.isin(c["Classification"], (2, 3, 4, 5)).sum()
+    with pytest.raises(ValueError, match="X, Y, Z"):
+        PointCloud.of(spark, {"x": [1.0]}).write(str(tmp_path / "no"))
+    with pytest.raises(ValueError, match="0 points"):
+        cloud.write(str(tmp_path / "no"), filter="-keep_z_above 1000")
+
+
 @pytest.fixture(scope="module")
 def server(folder):
     """Files by range, and a search of two pages."""
