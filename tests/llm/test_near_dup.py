@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -91,13 +92,21 @@ def test_one_large_group_of_near_copies(spark, monkeypatch):
     assert found(N.near_duplicates(documents(spark, rows), N.QUERY)) == brute(rows, N.QUERY)
 
 
-def test_keys_meet_for_every_pair_within_the_threshold():
-    how, r = N.QUERY, random.Random(1)
-    keys = how.left_out()
+@pytest.mark.parametrize("how", [N.QUERY, N.NearDup()])
+def test_keys_meet_for_every_pair_within_the_threshold(how):
+    r, keys = random.Random(1), how.left_out()
     for _ in range(300):
         wrong = set(r.sample(range(how.symbols), how.errors))
         assert any(not wrong & set(k) for k in keys)
 
+    def missed(n, p, most):
+        log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)
+        return sum(math.exp(log(k)) for k in range(most + 1, n + 1))
+
+    p = 1 - how.percent / 100
+    assert missed(how.symbols, p, how.errors) < 4e-6
+    assert missed(N.WIDE, p * 3 / 4, N._wide_errors(how, N.WIDE, 5)) < 2e-6
+
 
 def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
