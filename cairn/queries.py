@@ -6,6 +6,7 @@ import functools
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -419,7 +420,13 @@ def extra_dimension(p: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return tempfile.mkdtemp(prefix=f"cairn-{name}-")
+    """A new folder that all machines share: under ``spark.checkpoint.dir``, or a temporary one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root or not root.startswith(("file:", "/")):
+        return tempfile.mkdtemp(prefix=f"cairn-{name}-")
+    path = os.path.join("/" + root.removeprefix("file:").lstrip("/"), f"cairn-{name}-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
 
 
 def _octree_file(p: DataFrame, path: str, rows: int = 5000) -> str:
