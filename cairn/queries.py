@@ -95,9 +95,10 @@ def lidar_types(p: DataFrame) -> DataFrame:
     return schema.as_lidar_types(p.select("l_orderkey", "ScanAngleRank", "Withheld_flag", "Overlap_flag", "Intensity"))
 
 
-@_query("standard_names", "SELECT X, Y, Z, Intensity, Classification FROM points WHERE Z > 25")
+@_query("standard_names", "SELECT X, Y, Z, Intensity, ReturnNumber, ScanAngleRank, R, NIR FROM points WHERE Z > 25")
 def standard_names(p: DataFrame) -> DataFrame:
-    other = p.where("Z > 25").select(F.col("X").alias("easting"), F.col("Y").alias("Northing"), F.col("Z").alias("z"), F.col("Intensity").alias("intensity"), F.col("Classification").alias("class"))
+    names = {"X": "x", "Y": "Y", "Z": "z", "Intensity": "INTENSITY", "ReturnNumber": "return_number", "ScanAngleRank": "Scan_Angle", "R": "red", "NIR": "nir"}
+    other = p.where("Z > 25").select(*(F.col(c).alias(n) for c, n in names.items()))
     return schema.with_standard_names(other)
 
 

@@ -22,13 +22,13 @@ STAC_VERSION = "1.0.0"
 #: Assets in the order in which they are looked for; then any that is a point file.
 ASSETS = ("data", "copc", "pointcloud", "lidar", "asset")
 #: Names and sizes of dimensions as these files write them.
-DIMENSIONS = (("X", 8, "floating"), ("Y", 8, "floating"), ("Z", 8, "floating"), ("Intensity", 2, "unsigned"), ("ReturnNumber", 1, "unsigned"), ("NumberOfReturns", 1, "unsigned"), ("ScanDirectionFlag", 1, "unsigned"), ("EdgeOfFlightLine", 1, "unsigned"), ("Classification", 1, "unsigned"), ("ScanAngleRank", 4, "floating"), ("UserData", 1, "unsigned"), ("PointSourceId", 2, "unsigned"), ("GpsTime", 8, "floating"))
+DIMENSIONS = (("X", 8, "floating"), ("Y", 8, "floating"), ("Z", 8, "floating"), ("Intensity", 2, "unsigned"), ("ReturnNumber", 1, "unsigned"), ("NumberOfReturns", 1, "unsigned"), ("ScanDirectionFlag", 1, "unsigned"), ("EdgeOfFlightLine", 1, "unsigned"), ("Classification", 1, "unsigned"), ("ScanAngleRank", 4, "floating"), ("UserData", 1, "unsigned"), ("PointSourceID", 2, "unsigned"), ("GpsTime", 8, "floating"))
 COLOURS = (("Red", 2, "unsigned"), ("Green", 2, "unsigned"), ("Blue", 2, "unsigned"))
 
 
 def schemas(h: las.Header) -> list[dict]:
     """The dimensions of a file."""
-    own = list(DIMENSIONS) + (list(COLOURS) if h.point_format >= 7 else []) + ([("Infrared", 2, "unsigned")] if h.point_format >= 8 else [])
+    own = list(DIMENSIONS) + (list(COLOURS) if h.point_format >= 7 else []) + ([("NIR", 2, "unsigned")] if h.point_format >= 8 else [])
     return [{"name": n, "size": s, "type": t} for n, s, t in own] + [{"name": n, "size": 8, "type": "floating"} for n, kind, _, _ in h.extras() if not kind.startswith("V")]
 
 

@@ -123,10 +123,11 @@ def test_chunks(spark):
 
 
 def test_columns(spark):
-    df = spark.createDataFrame([(1.0, 2.0, 3.0, 100, 2)], "x double, y double, z double, intensity int, classification int")
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 100, 2)], "x double, y double, z double, intensity int, Classification int")
     assert schema.with_standard_names(df).columns == ["X", "Y", "Z", "Intensity", "Classification"]
-    both = spark.createDataFrame([(1.0, 2.0)], "X double, easting double")
-    assert schema.with_standard_names(both).columns == ["X", "easting"]
+    both = spark.createDataFrame([(1.0, 2)], "ScanAngleRank double, scan_angle int")
+    assert schema.with_standard_names(both).columns == ["ScanAngleRank", "scan_angle"]
+    assert all(schema.ALIASES[a] == c for a, c in {"pointsourceid": "PointSourceID", "point_source_id": "PointSourceID", "scan_direction_flag": "ScanDirectionFlag", "edge_of_flight_line": "EdgeOfFlightline", "withheld_flag": "Withheld_flag", "gps_time": "gpstime", "number_of_returns": "NumberOfReturns", "b": "B"}.items())
     assert [schema.point_format(c) for c in (["X"], ["R", "G", "B"], ["NIR"])] == [6, 7, 8]
     assert schema.struct_type(6).names[-1] == "ScannerChannel"
     merged = schema.merged([df.select("x"), df.select("y")])

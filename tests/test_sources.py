@@ -211,7 +211,7 @@ def test_overviews(spark, folder, tmp_path):
 
 def test_clouds_of_anything(spark, folder, tmp_path):
     c = columns(100)
-    cloud = PointCloud.of(spark, {"data": {"x": c["X"], "y": c["Y"], "z": c["Z"], "class": c["Classification"]}})
+    cloud = PointCloud.of(spark, {"data": {"x": c["X"], "y": c["Y"], "z": c["Z"], "classification": c["Classification"]}})
     assert cloud.df.columns == ["X", "Y", "Z", "Classification"] and PointCloud.of(spark, cloud) is cloud
     cloud.write(str(tmp_path / "out"), filter="-keep_class 2 3 4 5")
     paths = ",".join(str(p) for p in (tmp_path / "out").iterdir())
