@@ -3,17 +3,16 @@
 The model mixes maximum-likelihood estimates of three orders; the weights depend on how frequent the context is and are
 learned by expectation-maximisation on held-out counts:
 
-    P(w | v) = l2 * c(v, class(w)) / c(v) * P(w | class(w)) + l1 * c(w) / N + l0 / (V + 1)
+    P(w | v) = l2 * c(v, w) / c(v) + l1 * c(w) / N + l0 / (V + 1)
 
-Words that make up at least FREQUENT of the training tokens are classes of their own (at most 1 / FREQUENT of them,
-whatever the corpus); all others share one class, in which a word has its share of the class's tokens. So it sums to one over
-the V known words and one unknown. A context v is the class of the word before, or the start of the text. Its bucket is
-its share of the training tokens, in powers of two. One training document in ten (crc32 of its id, remainder 1) is held
-out for the weights; then all training documents give the counts.
+v is the word before, or the end token at the start of a text, so c(v) is at once how often v occurs and how often it is a
+context. It sums to one over the V known words and one unknown. Every word and every pair of words counts, however rare. The
+bucket of a context is its share of the training tokens, in powers of two. One training document in ten (crc32 of its id,
+remainder 1) is held out for the weights; then all training documents give the counts.
 
-Every count is exact, over the whole corpus. Documents are dealt into blocks of about BLOCK_BYTES; a block asks once for
-each different word or pair of classes that it holds, however often it occurs, so a frequent word is a row per block and
-no key is hot. Words are 64-bit hashes.
+Every count is exact, over the whole corpus. Documents are dealt into blocks of about BLOCK_BYTES; a block gives one row for
+each different word or pair of words that it holds, however often it occurs, so a frequent word is a row per block and no key
+is hot. What only one block holds needs no answer, as the block's own count is the count. Words and pairs are 64-bit hashes.
 
 Defined results: a null or empty text is the end token alone. A row without doc_id counts as id "" (held out). A row is a
 document, repeated or not. An empty table gives an empty result.
@@ -26,22 +25,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens as T
 from .common import bound_batches, text_of, written
 
 _U = np.uint64
-FREQUENT = 1e-4
 BLOCK_BYTES = 8 << 20
+#: Keys are counted in so many passes, each over its own share of all keys, so that only that share is shuffled at a time.
+PASSES = 4
 #: Rounds of expectation-maximisation, and cells for each factor of ten of a probability.
 ROUNDS, GRID = 40, 20
-#: The end of a text as a word; contexts and classes are numbered from 1 for frequent words.
+#: The end of a text as a word, and as the context of the next text's first word.
 END = np.int64(0x3C6EF372FE94F82A)
+#: For callers of Weights that number their contexts: the shared class, and the start of a text.
 RARE, START = 0, 1 << 30
 #: Tokens counted together before they leave a worker.
 COUNT_TOGETHER = 2 << 20
-_SHIFT = 31
+#: Where a cell of estimates has its parts, and the number that stands for an estimate of zero.
+_SHIFT, _ZERO = 13, -2000
 
 
 def fold(doc_id="doc_id"):
@@ -90,48 +93,40 @@ def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, none: int
     return np.where(keys[at] == asked, values[at], none)
 
 
-class _Classes:
-    """The classes of words: their number if frequent, else RARE."""
+def _block(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a block, their pairs with the word before, for each row the number of tokens before it, and each token's fold."""
+    data, at = T.buffers(docs["text"])
+    parts, rows = [], [np.zeros(1, np.int64)]
+    for i, j in T.pieces(at):
+        w, r = _tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        parts.append(w)
+        rows.append(r[1:] + rows[-1][-1])
+    w, rows = np.concatenate(parts), np.concatenate(rows)
+    ctx = _before(w, rows, END)
+    pairs = T.mix(T.mix(ctx.view(_U) + _U(0x9E3779B97F4A7C15)) + w.view(_U)).view(np.int64)
+    return w, pairs, rows, np.repeat(docs["fold"].to_numpy(), np.diff(rows))
 
-    def __init__(self, words: np.ndarray):
-        self.words = np.sort(words)
-        self.numbers = np.arange(1, len(words) + 1)
 
-    def of(self, w: np.ndarray) -> np.ndarray:
-        return _look_up(self.words, self.numbers, w, RARE)
+def _before(values: np.ndarray, rows: np.ndarray, start) -> np.ndarray:
+    """The value of the token before each, or start."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[rows[:-1]] = start
+    return out
 
-    def pairs(self, cl: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Context and class of each token as one number."""
-        ctx = np.empty(len(cl), np.int64)
-        ctx[1:] = cl[:-1]
-        ctx[rows[:-1]] = START
-        return (ctx << _SHIFT) | cl
 
-
-def _ask(classes: _Classes):
-    """For a block: each rare word (kind 0) and each pair of classes with its counts (kind 1)."""
+def _ask(part: int):
+    """Each word and each pair of a block with its counts there, of one share of all keys."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        data, at = T.buffers(docs["text"])
-        folds = docs["fold"].to_numpy()
-        rare, keys, fit, held = [], [], [], []
-        for i, j in T.pieces(at):
-            w, rows = _tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            cl = classes.of(w)
-            rare.append(np.unique(w[cl == RARE]))
-            p, inverse = np.unique(classes.pairs(cl, rows), return_inverse=True)
-            f = np.repeat(folds[i:j], np.diff(rows))
-            keys.append(p)
-            fit.append(np.bincount(inverse, f > 1, len(p)))
-            held.append(np.bincount(inverse, f == 1, len(p)))
-        rare = np.unique(np.concatenate(rare))
-        p, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        fit, held = (np.bincount(inverse, np.concatenate(x), len(p)).astype(np.int64) for x in (fit, held))
-        zero = np.zeros(len(rare), np.int64)
-        n = len(rare) + len(p)
-        return pa.table(
-            {"block": pa.array(np.full(n, key[0].as_py(), np.int64)), "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(rare), len(p)])), "key": pa.array(np.concatenate([rare, p])), "fit": pa.array(np.concatenate([zero, fit])), "held": pa.array(np.concatenate([zero, held]))}
-        )
+        w, pairs, _, fold = _block(docs)
+        out = []
+        for x in (w, pairs):
+            own = x.view(_U) % _U(PASSES) == part
+            keys, inverse = np.unique(x[own], return_inverse=True)
+            out.append((keys, *(np.bincount(inverse[at], minlength=len(keys)) for at in (fold[own] > 1, fold[own] == 1))))
+        keys, fit, held = map(np.concatenate, zip(*out, strict=True))
+        return pa.table({"block": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys), "fit": pa.array(fit), "held": pa.array(held)})
 
     return run
 
@@ -167,43 +162,61 @@ class Weights:
                 self.mix[b] /= self.mix[b].sum()
 
     def log10(self, ctx: np.ndarray, pair: np.ndarray, c: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        """Of tokens with count c after contexts ctx; pair is how often their class follows it."""
-        n = _look_up(self.ctx, self.count, ctx)
+        """Of tokens with count c after numbered contexts; pair is how often their class follows it, rare whether they share one."""
+        return self.after(_look_up(self.ctx, self.count, ctx), pair * np.where(rare, c / max(self.rare, 1), 1.0), c)
+
+    def after(self, n: np.ndarray, pair: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Of tokens with count c after contexts with count n, which they follow pair times."""
         l = self.mix[self.bucket(n, self.tokens)]
         l[n == 0] = [0, 2 / 3, 1 / 3]
-        inside = np.where(rare, c / max(self.rare, 1), 1.0)
-        p = l[:, 0] * pair / np.maximum(n, 1) * inside + l[:, 1] * c / max(self.tokens, 1) + l[:, 2] / (self.kinds + 1)
+        p = l[:, 0] * pair / np.maximum(n, 1) + l[:, 1] * c / max(self.tokens, 1) + l[:, 2] / (self.kinds + 1)
         return np.log10(p)
 
 
-def _score(classes: _Classes, counts: np.ndarray, w: Weights, known: int):
-    """counts: of the frequent words by number; known: N."""
+def _answered(answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    keys, c = answers["key"].to_numpy(), answers[column].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], c[order]
+
+
+def _cells(fit: int):
+    """The held-out tokens of a block, counted in cells of about equal estimates; fit: the tokens that are not held out."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        kind = answers["kind"].to_numpy()
+        w, pairs, rows, _ = _block(docs)
+        found = _answered(answers, "fit")
+        c, pair = (_look_up(*found, x) for x in (w, pairs))
+        n = _before(c, rows, c[rows[1:] - 1])
+        known = n > 0
+        c, pair, n = c[known], pair[known], n[known]
+        p2, p1 = (np.where(x > 0, _log_cell(np.maximum(x, 1) / of), _ZERO) for x, of in ((pair, n), (c, fit)))
+        cell = ((Weights.bucket(n, fit) << _SHIFT) + p2 - _ZERO << _SHIFT) + p1 - _ZERO
+        cell, m = np.unique(cell, return_counts=True)
+        return pa.table({"cell": pa.array(cell), "m": pa.array(m.astype(np.int64))})
+
+    return run
+
+
+def _score(w: Weights):
+    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        t, pairs, rows, fold = _block(docs)
+        asked, counts = _answered(answers, "c")
         found = []
-        for k in (0, 1):
-            keys, c = (answers[x].to_numpy()[kind == k] for x in ("key", "c"))
-            order = np.argsort(keys)
-            found.append((keys[order], c[order]))
-        data, at = T.buffers(docs["text"])
-        n, base, score, hit = [], [], [], []
-        for i, j in T.pieces(at):
-            t, rows = _tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            cl = classes.of(t)
-            c = np.where(cl > 0, counts[cl], 0)
-            rare = cl == RARE
-            c[rare] = _look_up(*found[0], t[rare])
-            pairs = classes.pairs(cl, rows)
-            logs = w.log10(pairs >> _SHIFT, _look_up(*found[1], pairs), c, rare)
-            first = rows[:-1]
-            n.append(np.diff(rows))
-            hit.append(np.add.reduceat((c > 0).astype(np.int64), first))
-            base.append(np.add.reduceat(np.log10((c + 0.1) / (w.tokens + 0.1 * (w.kinds + 1))), first))
-            score.append(np.add.reduceat(logs, first))
-        n, hit, base, score = map(np.concatenate, (n, hit, base, score))
+        for x in (t, pairs):
+            keys, inverse = np.unique(x, return_inverse=True)
+            own = np.bincount(inverse[fold > 0], minlength=len(keys))
+            at = np.minimum(np.searchsorted(asked, keys), max(len(asked) - 1, 0))
+            c = np.where(asked[at] == keys, counts[at], own) if len(asked) else own
+            found.append(c[inverse])
+        c, pair = found
+        logs = w.after(_before(c, rows, c[rows[1:] - 1]), pair, c)
+        first = rows[:-1]
+        n = np.diff(rows)
+        hit = np.add.reduceat((c > 0).astype(np.int64), first)
+        base = np.add.reduceat(np.log10((c + 0.1) / (w.tokens + 0.1 * (w.kinds + 1))), first)
+        score = np.add.reduceat(logs, first)
         return pa.table(
-            {"doc_id": docs["doc_id"], "held_out": pa.array(docs["fold"].to_numpy() == 0), "n_tokens": pa.array(n), "n_known": pa.array(hit), "train_tokens": pa.array(np.full(len(n), known)), "base_score": pa.array(base), "score": pa.array(score)}
+            {"doc_id": docs["doc_id"], "held_out": pa.array(docs["fold"].to_numpy() == 0), "n_tokens": pa.array(n), "n_known": pa.array(hit), "train_tokens": pa.array(np.full(len(n), w.tokens)), "base_score": pa.array(base), "score": pa.array(score)}
         )
 
     return run
@@ -213,7 +226,7 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _log_cell(p):
-    return F.floor(F.log10(p) * GRID)
+    return np.floor(np.log10(p) * GRID).astype(np.int64)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -222,71 +235,36 @@ def scored(docs: DataFrame) -> DataFrame:
     bound_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold().cast("long").alias("fold"), text_of().alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = written(own.where("fold > 0").select("fold", "text").mapInArrow(_count_words, "w long, fit long, held long").groupBy("w").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held")), "unigrams")
+    words = own.where("fold > 0").select("fold", "text").mapInArrow(_count_words, "w long, fit long, held long").groupBy("w").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held"))
     fit, held, kinds, fit_kinds = words.agg(F.sum("fit"), F.sum("held"), F.count(F.lit(1)), F.count_if(F.col("fit") > 0)).first()
     fit, held = fit or 0, held or 0
-    n = fit + held
-    # At most 1 / FREQUENT rows, as each holds that share of all tokens.
-    top = words.where(F.col("fit") + F.col("held") >= max(n * FREQUENT, 1)).collect() if n else []
-    top.sort(key=lambda r: r["w"])
-    classes = _Classes(np.array([r["w"] for r in top], np.int64))
-    top_fit = np.array([0, *(r["fit"] for r in top)], np.int64)
-    top_all = top_fit + np.array([0, *(r["held"] for r in top)], np.int64)
 
     blocks = -(-size // BLOCK_BYTES) or 1
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    asked = written(dealt.groupBy("block").applyInArrow(_ask(classes), "block long, kind int, key long, fit long, held long"), "asked")
-    pairs = written(asked.where("kind = 1").groupBy("key").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held")), "pairs-of-classes")
-
-    ctx, cl = F.shiftright("key", _SHIFT), F.col("key").bitwiseAND((1 << _SHIFT) - 1)
-    # A row for each context, of which there are as few as frequent words.
-    of_ctx = pairs.groupBy(ctx.alias("ctx")).agg(F.sum("fit").alias("fit"), F.sum("held").alias("held"), F.sum(F.when(cl == RARE, F.col("fit"))).alias("rare_fit"), F.sum(F.when(cl == RARE, F.col("held"))).alias("rare_held")).collect()
-    w = Weights(n, kinds, n - int(top_all.sum()), {r["ctx"]: r["fit"] + r["held"] for r in of_ctx if r["fit"] + r["held"]})
-    _learn(w, words, pairs, of_ctx, top, top_fit, fit, fit_kinds or 0)
-
-    c = (F.col("fit") + F.col("held")).alias("c")
-    zero = asked.where("kind = 0").select("block", "kind", "key").join(words.select(F.col("w").alias("key"), c), "key")
-    one = asked.where("kind = 1").select("block", "kind", "key").join(pairs.select("key", c).where("c > 0"), "key")
-    answers = zero.select("block", "kind", "key", "c").union(one.select("block", "kind", "key", "c"))
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(classes, top_all, w, n), _SCORES)
-
+    answers = None
+    for part in range(PASSES):
+        asked = dealt.groupBy("block").applyInArrow(_ask(part), "block long, key long, fit long, held long")
+        # A key has a row for each block that holds it, so at most as many as there are blocks.
+        every = W.partitionBy("key")
+        sums = asked.select("block", "key", (F.col("held") > 0).alias("here"), F.sum("fit").over(every).alias("fit"), F.sum("held").over(every).alias("held"), F.count(F.lit(1)).over(every).alias("n"))
+        some = written(sums.where("n > 1 or here").select("block", "key", "here", "fit", (F.col("fit") + F.col("held")).alias("c")), "answers")
+        answers = some if answers is None else answers.union(some)
+
+    w = Weights(fit + held, kinds, 0, {})
+    w.mix = np.full((64, 3), 1 / 3)
+    if fit:
+        held_out = dealt.where("fold = 1").groupBy("block")
+        cells = held_out.cogroup(answers.where("here").select("block", "key", "fit").groupBy("block")).applyInArrow(_cells(fit), "cell long, m long")
+        _learn(w, cells.groupBy("cell").agg(F.sum("m").alias("m")).collect(), Weights(fit, fit_kinds, 0, {}))
+    return dealt.groupBy("block").cogroup(answers.select("block", "key", "c").groupBy("block")).applyInArrow(_score(w), _SCORES)
 
-def _learn(w: Weights, words: DataFrame, pairs: DataFrame, of_ctx: list, top: list, top_fit: np.ndarray, fit: int, fit_kinds: int) -> None:
-    """Gathers held-out counts in cells of about equal estimates, which are few, and learns the weights from them.
 
-    For a rare word both estimates are in proportion to its count, so the held-out counts of the rare class are spread
-    over the counts of its words."""
-    w.mix = np.full((64, 3), 1 / 3)
-    if not fit:
+def _learn(w: Weights, cells: list, learner: Weights) -> None:
+    """Learns the weights from held-out counts in cells of about equal estimates, which are few."""
+    if not cells:
         return
-    learner = Weights(fit, fit_kinds, fit - int(top_fit.sum()), {})
-    ctx_fit = {r["ctx"]: r["fit"] for r in of_ctx}
-    spark = words.sparkSession
-    # Both tables have at most 1 / FREQUENT rows and two.
-    of_class = spark.createDataFrame([(k + 1, int(r["fit"])) for k, r in enumerate(top)] or [(-1, 1)], "cl int, w_fit long")
-    of_context = spark.createDataFrame([(int(k), int(v)) for k, v in ctx_fit.items() if v] or [(-1, 1)], "ctx int, c_fit long")
-    ctx, cl = F.shiftright("key", _SHIFT).cast("int").alias("ctx"), F.col("key").bitwiseAND((1 << _SHIFT) - 1).cast("int").alias("cl")
-    common = pairs.where("held > 0").select(ctx, cl, "fit", "held").where(F.col("cl") != RARE)
-    common = common.join(F.broadcast(of_class), "cl").join(F.broadcast(of_context), "ctx")
-    bucket = F.floor(-F.log2(F.col("c_fit") / F.lit(float(fit)))).alias("bucket")
-    p2 = F.when(F.col("fit") > 0, _log_cell(F.col("fit") / F.col("c_fit"))).alias("p2")
-    p1 = F.when(F.col("w_fit") > 0, _log_cell(F.col("w_fit") / F.lit(float(fit)))).alias("p1")
-    cells = common.groupBy(bucket, p2, p1).agg(F.sum("held").alias("m")).collect()
-    value = lambda k: 0.0 if k is None else 10 ** ((k + 0.5) / GRID)
-    rows = [(r["bucket"], value(r["p2"]), value(r["p1"]), float(r["m"])) for r in cells]
-    rare = words.where(F.col("fit") + F.col("held") < max((w.tokens) * FREQUENT, 1)).groupBy(F.when(F.col("fit") > 0, _log_cell(F.col("fit").cast("double"))).alias("c")).agg(F.sum("held").alias("m")).collect()
-    spread = [(value(r["c"]), r["m"]) for r in rare if r["m"]]
-    total = sum(m for _, m in spread)
-    by_bucket: dict[int, list] = {}
-    for r in of_ctx:
-        if r["fit"] and r["rare_held"]:
-            b = int(Weights.bucket(np.array([r["fit"]]), fit)[0])
-            by_bucket.setdefault(b, []).append((r["rare_fit"] / r["fit"], r["rare_held"]))
-    for b, of in by_bucket.items():
-        mass = sum(m for _, m in of)
-        share = sum(p * m for p, m in of) / mass
-        rows += [(b, share * c / max(learner.rare, 1), c / fit, mass * m / total) for c, m in spread]
-    if rows:
-        b, p2, p1, m = (np.array(x) for x in zip(*rows, strict=True))
-        learner.learn(b.astype(np.int64).clip(0, 63), p2.astype(float), p1.astype(float), m.astype(float))
-        w.mix = learner.mix
+    cell, m = (np.array(x, np.int64) for x in zip(*sorted(map(tuple, cells)), strict=True))
+    low = (1 << _SHIFT) - 1
+    p2, p1 = (np.where(k == _ZERO, 0.0, 10 ** ((k + 0.5) / GRID)) for k in (((cell >> _SHIFT) & low) + _ZERO, (cell & low) + _ZERO))
+    learner.learn(cell >> 2 * _SHIFT, p2, p1, m.astype(float))
+    w.mix = learner.mix

@@ -86,3 +86,34 @@ def test_empty_and_untrained_tables(spark):
     (r,) = M.scored(documents(spark, [(alone, "a b")])).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0)
     assert math.isfinite(r.score) and r.base_score == 0.0
+
+
+@pytest.mark.parametrize("size", [8 << 20, 20_000])
+def test_pairs_of_rare_words_against_brute_force(spark, monkeypatch, size):
+    """No word has one in 10,000 of the tokens, and each is followed by its own."""
+    r = random.Random(9)
+    pairs = [f"a{k} b{k}" for k in range(7000)] * 3
+    r.shuffle(pairs)
+    docs = [(k, " ".join(pairs[10 * k : 10 * k + 10])) for k in range(2100)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    tested = [i for i in range(10_000, 10_100) if fold(i) == 0][:2]
+    docs += [(tested[0], "a1 b1 a2 b2"), (tested[1], "b1 a1 b2 a2")]
+    c, two = Counter(), Counter()
+    for i, t in docs:
+        if fold(i):
+            ts = tokens(t)
+            c.update(ts)
+            two.update(zip([None, *ts], ts))
+    n, v = sum(c.values()), len(c)
+    assert 3 < n * 1e-4
+    monkeypatch.setattr(M, "BLOCK_BYTES", size)
+    learned = M.scored(documents(spark, docs)).collect()
+    by_id = {x.doc_id: x.score for x in learned}
+    assert by_id[tested[0]] > by_id[tested[1]] + 4
+    monkeypatch.setattr(M.Weights, "learn", lambda self, *_: setattr(self, "mix", np.tile([0.5, 0.3, 0.2], (64, 1))))
+    got = {x.doc_id: x.score for x in M.scored(documents(spark, docs)).collect()}
+    for i, t in docs:
+        ts = tokens(t)
+        l = lambda u: (0.5, 0.3, 0.2) if c[u] else (0, 2 / 3, 1 / 3)
+        p = [l(u)[0] * two[u, x] / max(c[u], 1) + l(u)[1] * c[x] / n + l(u)[2] / (v + 1) for u, x in zip([None, *ts], ts)]
+        assert got[i] == pytest.approx(sum(map(math.log10, p)), rel=1e-9)
