@@ -367,14 +367,16 @@ def decoded(files: list[bytes]) -> list[bytes]:
 
 
 def hashed(images: list[tuple[Image, np.ndarray]]) -> str:
-    """Dimensions of the first image, number of images, and an average and a difference hash of its thumbnail."""
-    image, t = images[0]
+    """Width and total height of a payload's images, their number, and an average and a difference hash of their thumbnails put
+    one below the other."""
+    width, height = images[0][0].width, sum(image.height for image, _ in images)
+    t = np.concatenate([t for _, t in images])
     t = np.repeat(np.repeat(t, -(-8 // t.shape[0]), 0), -(-9 // t.shape[1]), 1)
     rows, cols = (np.linspace(0, n, k + 1).astype(int) for n, k in ((t.shape[0], 8), (t.shape[1], 9)))
     sums = np.add.reduceat(np.add.reduceat(t, rows[:-1], 0, dtype=np.int64), cols[:-1], 1)
     grid = sums / np.outer(np.diff(rows), np.diff(cols))
     bits = lambda b: np.packbits(b).tobytes().hex()
-    return f"{image.width}x{image.height}x{len(images)}:a{bits(grid[:, :8] > grid[:, :8].mean())}:d{bits(grid[:, 1:] > grid[:, :-1])}"
+    return f"{width}x{height}x{len(images)}:a{bits(grid[:, :8] > grid[:, :8].mean())}:d{bits(grid[:, 1:] > grid[:, :-1])}"
 
 
 _MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

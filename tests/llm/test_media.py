@@ -136,3 +136,10 @@ def test_tables(spark):
         (f,) = M.encoded([p])
         assert r.media_bytes == len(f) and r.media_sha256 == hashlib.sha256(f).hexdigest()
     assert M.carried(documents(spark, [])).collect() == []
+
+
+def test_hashes_see_every_image():
+    beginning = bytes(range(64)) * M.ROWS
+    one, two, again = (M.hashed(M.thumbnails(M.encoded([beginning + end * M.ROWS]))[0]) for end in (bytes(64), bytes(range(63, -1, -1)), bytes(64)))
+    assert one == again and one != two
+    assert one.startswith(f"{8 * 64}x{2 * 8 * M.ROWS}x2:")
