@@ -27,7 +27,8 @@ G, M = 1327217885, 1 << 31
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A document's words are taken at most so often.
 MOST = 3
-#: Words of a block at least, and slots of a schedule at most.
+#: Words of a block, whatever the size of the input. SLOTS bounds the schedule of MIX_SQL alone: from SLOTS * BLOCK words (268
+#: million) on, the SQL's blocks grow and it no longer says what is done here.
 BLOCK, SLOTS = 64, 1 << 22
 #: Slots of a group, documents of a group to aim at, and cells of the unit interval.
 GROUP, CELLS = 4096, 1 << 12
@@ -104,7 +105,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     sizes = written(sized(docs), "sizes")
     per_source = written(targets(sizes, weights, most), "targets")
     n, total = sizes.agg(F.count(F.lit(1)), F.sum("size")).first()
-    block = max(BLOCK, -(-(total or 0) // SLOTS))
+    block = BLOCK
     times = schedule(per_source, block, -(-(total or 0) // block)).groupBy("r", "block").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("times"))
     laid = written(_laid(sizes, per_source, n).withColumn("row", F.monotonically_increasing_id()), "laid")
     end = F.col("start") + F.col("size")

@@ -106,3 +106,12 @@ def test_documents_of_the_mix(spark):
     for r in M.mixed(docs).collect():
         taken[r.doc_id] += r.taken
     assert all(abs(words[i] - taken[i]) <= (1 if i == 1 else 0) for i in taken if i is not None)
+
+
+def test_blocks_stay_small_when_there_are_many(spark, monkeypatch):
+    rows = corpus()
+    want = sorted(map(tuple, M.mixed(documents(spark, rows)).collect()))
+    monkeypatch.setattr(M, "SLOTS", 16)
+    got = M.mixed(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == want
+    assert sum(r.taken for r in got if 2000 <= r.doc_id < 3000) > 0
