@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -431,7 +432,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _octree_file(p: DataFrame, path: str, rows: int = 5000) -> str:
-    """The first points as an octree file."""
+    """The first points as an octree file, as the SQL of octree_file_scan takes them."""
     p = thinning.head(p.select(*ORDER.columns, *schema.CORE), rows, ORDER).select(*schema.CORE)
     found = p.toPandas()
     with open(path, "w+b") as f:
@@ -439,10 +440,28 @@ def _octree_file(p: DataFrame, path: str, rows: int = 5000) -> str:
     return path
 
 
+def _octree_files(p: DataFrame, folder: str, size: float) -> list[str]:
+    """All points as octree files, one for each square tile that has any; each is written by the task that has the tile."""
+    columns, by = list(schema.CORE), list(ORDER.columns)
+
+    def write(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(by)
+        path = os.path.join(folder, f"{key[0]}_{key[1]}.copc.las")
+        own = f"{path}.{uuid.uuid4().hex}"
+        with open(own, "w+b") as f:
+            las.write(f, {c: t[c].to_numpy() for c in columns}, header=las.Header(scale=(0.0001,) * 3), wkt='PROJCS["local"]')
+        os.replace(own, path)
+        return pd.DataFrame({"path": [path]})
+
+    tile = [F.floor(F.col(c) / size).cast("bigint").alias(f"__{c}") for c in "XY"]
+    found = p.select(*dict.fromkeys([*by, *columns]), *tile).groupBy("__X", "__Y").applyInPandas(write, "path string")
+    return sorted(r["path"] for r in found.collect())  # a row for each tile
+
+
 @_query("header_roundtrip", own=True)
 def header_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _octree_file(points(spark, sf_dir), os.path.join(_folder(spark, "header"), "a.copc.las"))
-    return catalog.info(spark, path).drop("file")
+    paths = _octree_files(points(spark, sf_dir), _folder(spark, "header"), 250)
+    return catalog.Catalog.of(spark, paths).files.drop("file")
 
 
 @_query("octree_file_scan", f", k AS (SELECT * FROM points ORDER BY {_ORDER} LIMIT 5000) SELECT round(X, 4) AS X, round(Y, 4) AS Y, round(Z, 4) AS Z, Intensity, Classification FROM k WHERE X BETWEEN 200 AND 600 AND Y BETWEEN 10 AND 700", own=True)
@@ -458,8 +477,7 @@ def octree_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("vpc_roundtrip", own=True)
 def vpc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "vpc")
-    p = points(spark, sf_dir)
-    paths = [_octree_file(p.where(f"X {op} 500"), os.path.join(folder, f"{n}.copc.las"), 2000) for op, n in (("<", "west"), (">=", "east"))]
+    paths = _octree_files(points(spark, sf_dir), folder, 500)
     listed = vpc.write(spark, paths, os.path.join(folder, "all.vpc"), statistics=True)
     return vpc.read(spark, listed).files.select(F.regexp_extract("file", "[^/]+$", 0).alias("file"), "xmin", "ymin", "xmax", "ymax", "points", "point_format")
 

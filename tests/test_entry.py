@@ -37,6 +37,12 @@ def test_query(spark, oracle, name):
         assert got
 
 
+@pytest.mark.parametrize("name", ["header_roundtrip", "vpc_roundtrip"])
+def test_round_trips_have_all_points(spark, oracle, name):
+    (n,) = oracle.execute("SELECT count(*) FROM lineitem").fetchone()
+    assert sum(r["points"] for r in core.queries()[name](spark, TABLES).collect()) == n
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
