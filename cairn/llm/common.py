@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -18,14 +19,15 @@ BLANKS = " \t\n\x0b\f\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where none is."""
+    """The folder in ``spark.checkpoint.dir``. Where none is set, as in tests, a local master gets one of its own; a cluster,
+    whose executors couldn't read it, is an error."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
         root = sc.getCheckpointDir()
-        if not root:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
-            root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -36,7 +38,8 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and every executor can read it again.
 
-    Its shuffle files go when it is written, as nothing reads them any more."""
+    Its shuffle files go when it is written, as nothing reads them any more. The table goes with ``forget``, or when
+    Python ends."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
@@ -44,7 +47,37 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[path] = spark
+    table._cairn_path = path
+    return table
+
+
+#: Paths of written tables, and the sessions that wrote them.
+_tables: dict[str, SparkSession] = {}
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_cairn_path", None)
+        if path in _tables:
+            _delete(_tables.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    while _tables:
+        path, spark = _tables.popitem()
+        try:
+            _delete(spark, path)
+        except Exception:  # the JVM is gone before Python; its shared folder is left to the cluster
+            return
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -66,6 +99,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANK + "+"), "")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it from clashing with a column of docs."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(x)`` with ``value`` computed once, however often ``x`` stands in the body."""
     return F.transform(F.array(value), body)[0]

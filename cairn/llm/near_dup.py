@@ -5,18 +5,23 @@ A signature holds K symbols of B bits. Two texts whose shingle sets have a Jacca
 whole by pigeonhole: the signature is split into ``chunks``; of two signatures within the threshold, some chunk differs
 in at most ``errors // chunks`` symbols, and a key is written for every way to leave that many symbols of a chunk out.
 At the default's threshold of 0.8 (48 symbols, 23 errors), and at QUERY's of 0.85 (32 symbols, 15 errors), a pair is missed
-with a chance below 4 in a million, and far more rarely above it.
-
-Texts with equal shingle sets are one class from the start. Within a bucket of classes pairs aren't all written: every
-class is held against the bucket's leader (the class that shares most keys with others), a link joins components, the
-leader leaves the bucket (its links are all known), and a bucket whose classes are in one component is done. What is left
-are classes near a group but not in it. They get a second signature of WIDE 2-bit symbols, and the buckets are joined with
-themselves on the distance of those, which lets through pairs just below the similarity at the lowest (a linked pair
-is missed with a chance of one in a million). Links are confirmed on the full sets. So a bucket of n near copies makes
-about n pairs, not n * n, and no link between different texts is lost. Every join is between distributed tables.
+with a chance below 4 in a million, and far more rarely above it. Symbols lie four to a 64-bit column, so keys and distances
+are bit operations.
+
+Texts with equal shingle sets (128 bits of the set) are one class from the start, numbered when the classes are written.
+Within a bucket of classes pairs aren't all written: every class is held against the bucket's leader (the class that shares
+most keys with others), a link joins components, the leader leaves the bucket (its links are all known), and a bucket whose
+classes are in one component is done. What is left are classes near a group but not in it. They get a second signature of
+WIDE 2-bit symbols, and the buckets are joined with themselves, block by block, on the distance of those, which lets through
+pairs just below the similarity at the lowest (a linked pair is missed with a chance of one in a million). Links are
+confirmed on the full sets. So a bucket of n near copies makes about n pairs, not n * n, and no link between different
+texts is lost. Every join is between distributed tables; rows of a large bucket, and pairs with one text, are dealt into parts
+by how many they are.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and stays. A row without doc_id is
-neither linked nor dropped (component_id null). Rows that share a doc_id are one node. Other columns play no part.
+neither linked nor dropped (component_id null). Rows that share a doc_id are one document with several texts: it is linked
+through each of them and has one component_id. ``one_of_each`` goes by texts instead, so that a document's other text
+never goes with one that is a copy. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,25 +33,27 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import bound_batches, text_of, words_of, written
+from .common import bound_batches, forget, text_of, unused, written
 
 _U = np.uint64
 #: Pairs of a bucket, for each row that the buckets held at first, up to which second signatures are compared.
 FEW = 500
-#: 2-bit symbols of the second signature; ids that are sent to the executors.
+#: 2-bit symbols of the second signature; ids that are sent to the executors (16 bytes each).
 WIDE, SENT_IDS = 2048, 2_000_000
 _LONGS = WIDE // 32
-#: Parts into which the texts of a leader are dealt.
-SALTS = 16
+#: Bits of a symbol in a column of 64, and symbols there.
+LANE, LANES = 16, 4
+#: Rows of a bucket, and pairs with one text, that stay together; a larger number is dealt into parts.
+TOGETHER, BLOCK = 50_000, 2000
 
 
 @dataclass(frozen=True)
 class NearDup:
-    """Shingles of ``words`` words, linked from a Jaccard similarity of ``percent`` / 100 on."""
+    """Shingles of ``words`` words, linked from a Jaccard similarity of ``percent`` / 100 on; symbols of up to LANE bits."""
 
     words: int = 5
     percent: int = 80
@@ -61,6 +68,21 @@ class NearDup:
         out = self.errors // self.chunks
         return [tuple(c * size + p for p in kept) for c in range(self.chunks) for kept in combinations(range(size), size - out)]
 
+    def columns(self) -> list[str]:
+        """Where signatures lie, LANES symbols in each."""
+        return [f"s{k}" for k in range(-(-self.symbols // LANES))]
+
+    def keys(self) -> list[Column]:
+        """A key for each of ``left_out``: a hash of those symbols, the others masked."""
+        out = []
+        for number, kept in enumerate(self.left_out()):
+            masks: dict[int, int] = {}
+            for s in kept:
+                masks[s // LANES] = masks.get(s // LANES, 0) | (1 << LANE) - 1 << LANE * (s % LANES)
+            parts = [F.col(f"s{k}").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for k, m in sorted(masks.items())]
+            out.append(F.xxhash64(F.lit(number), *parts))
+        return out
+
 
 #: 3-word shingles from 85 % on, as the query asks for.
 QUERY = NearDup(words=3, percent=85, symbols=32, chunks=8, errors=15)
@@ -101,36 +123,41 @@ def _permutations(k: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(h: np.ndarray, rows: np.ndarray, how: NearDup) -> np.ndarray:
     """rows x symbols; zeros for an empty set."""
     n = len(rows) - 1
-    sig = np.zeros((n, how.symbols), np.int32)
+    sig = np.zeros((n, LANES * len(how.columns())), "<u2")
     full = np.flatnonzero(np.diff(rows))
     if not len(full):
         return sig
     times, plus = _permutations(how.symbols)
     for k in range(how.symbols):
         low = np.minimum.reduceat(h * times[k] + plus[k], rows[:-1][full])
-        sig[full, k] = (T.mix(low) & _U((1 << how.bits) - 1)).astype(np.int32)
+        sig[full, k] = (T.mix(low) & _U((1 << how.bits) - 1)).astype(np.uint16)
     return sig
 
 
 def _signer(how: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = T.buffers(b.column(1))
+            data, at = T.buffers(b.column(2))
             for i, j in T.pieces(at):
                 h, rows = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], how.words)
                 ends = np.concatenate([np.zeros(1, _U), np.cumsum(h)]), np.concatenate([np.zeros(1, _U), np.cumsum(T.mix(h ^ _U(0x2545F4914F6CDD1D)))])
-                d1, d2 = ((e[rows[1:]] - e[rows[:-1]]).view(np.int64) for e in ends)
-                sig = signatures(h, rows, how)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, how.symbols, dtype=np.int32)), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(rows)), pa.array(d1), pa.array(d2), lists], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                digests = [pa.array((e[rows[1:]] - e[rows[:-1]]).view(np.int64)) for e in ends]
+                sig = signatures(h, rows, how).view("<i8")
+                own = [b.column(k).slice(i, j - i) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(rows)), *digests, *(pa.array(c.copy()) for c in sig.T)], ["doc_id", "th", "n_shingles", "d1", "d2", *how.columns()])
 
     return run
 
 
+def _with_th(docs: DataFrame, *more: Column) -> DataFrame:
+    t = text_of()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"), *more)
+
+
 def signed(docs: DataFrame, how: NearDup) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (128 bits of the set), sig (symbols); a row for each row of docs."""
+    """doc_id, th (a hash of the text), n_shingles, d1 and d2 (128 bits of the set), the signature; a row for each row of docs."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_signer(how), "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
+    return _with_th(docs).mapInArrow(_signer(how), ", ".join(f"{c} long" for c in ["doc_id", "th", "n_shingles", "d1", "d2", *how.columns()]))
 
 
 def _judge(how: NearDup):
@@ -145,9 +172,8 @@ def _judge(how: NearDup):
             for i, j in T.pieces(at):
                 h, rows = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], how.words)
                 for r in range(i, j):
-                    key = leaders[r], more[its[r] : its[r + 1]].tobytes()
-                    if key != last:
-                        last, kept = key, shingle_sets(more[its[r] : its[r + 1]], np.array([0, its[r + 1] - its[r]]), how.words)[0]
+                    if leaders[r] != last:
+                        last, kept = leaders[r], shingle_sets(more[its[r] : its[r + 1]], np.array([0, its[r + 1] - its[r]]), how.words)[0]
                     own = h[rows[r - i] : rows[r - i + 1]]
                     both = len(np.intersect1d(own, kept, assume_unique=True))
                     linked.append(both > 0 and 100 * both >= how.percent * (len(own) + len(kept) - both))
@@ -181,34 +207,59 @@ def _wide_errors(how: NearDup, symbols: int, deviations: int) -> int:
     return int(symbols * p + deviations * (symbols * p * (1 - p)) ** 0.5) + 1
 
 
-def _near(x, y, how: NearDup):
-    """Signatures within the threshold."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p != q, 1).otherwise(0)), F.lit(0), lambda s, d: s + d) <= how.errors
+#: Two lanes of a column at their highest, each with LANE bits free above it, and the lowest of those free bits.
+_PAIR, _ABOVE = 0x0000FFFF0000FFFF, 0x0001000000010000
+
+
+def _near(how: NearDup) -> str:
+    """Signatures (s..., o...) within the threshold: a lane that differs carries into the free bit above it."""
+    lanes = [part for c in how.columns() for part in (f"(s{c[1:]} ^ o{c[1:]})", f"shiftrightunsigned(s{c[1:]} ^ o{c[1:]}, {LANE})")]
+    return " + ".join(f"bit_count((({x} & {_PAIR}L) + {_PAIR}L) & {_ABOVE}L)" for x in lanes) + f" <= {how.errors}"
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, t (a text of the class) of the wanted classes. Their ids go to the executors while they are few, else the
-    texts are shuffled."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), text_of().alias("t")).where("cid is not null")
+    """cid, t of the wanted texts (cid, id, th), written; one row for each, however often it is repeated. The ids go to the
+    executors while they are few, else the texts are shuffled."""
     wanted = written(wanted, "wanted")
-    return written(texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "cid", "left_semi"), "texts")
+    n = wanted.count()
+    own = _with_th(docs)
+    both = own.join(F.broadcast(wanted) if n <= SENT_IDS else wanted, (own["doc_id"] == wanted["id"]) & (own["th"] == wanted["th"])).select("cid", "t")
+    texts = written(both, "texts")
+    forget(wanted)
+    if texts.count() == n:
+        return texts
+    once = written(texts.dropDuplicates(["cid"]), "texts")
+    forget(texts)
+    return once
 
 
 def _within(pairs: DataFrame, classes: DataFrame, how: NearDup) -> DataFrame:
     """The pairs whose signatures are within the threshold; written."""
-    a, b = (classes.select(F.col("cid").alias(c), F.col("sig").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return written(pairs.join(a, "a").join(b, "b").where(_near(F.col("x"), F.col("y"), how)).select("a", "b"), "close")
+    a = classes.select(F.col("cid").alias("a"), *how.columns())
+    b = classes.select(F.col("cid").alias("b"), *(F.col(c).alias(f"o{c[1:]}") for c in how.columns()))
+    return written(pairs.join(a, "a").join(b, "b").where(_near(how)).select("a", "b"), "close")
+
+
+def _parts(n: Column, together: int) -> Column:
+    return F.greatest(F.ceil(n / F.lit(together)), F.lit(1)).cast("long")
 
 
-def _linked(close: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
-    """The links (a, b) among pairs, by the full sets; written."""
-    texts = _texts(docs, close.select(F.col("a").alias("cid")).union(close.select(F.col("b").alias("cid"))).distinct())
-    salt = F.pmod(F.hash("a"), F.lit(SALTS)).alias("salt")
-    ours = close.join(texts.select(F.col("cid").alias("a"), F.col("t").alias("s")), "a").select("a", "b", "s", salt)
-    # A leader's text goes to each of its parts, so that no part holds all its pairs.
-    theirs = close.select("b", salt).distinct().join(texts.select(F.col("cid").alias("b"), "t"), "b")
-    both = ours.join(theirs, ["b", "salt"]).select("a", "b", "s", "t").mapInArrow(_judge(how), "a long, b long, linked boolean")
-    return written(both.where("linked").select("a", "b").distinct(), "links")
+def _part(of: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(17), of), parts)
+
+
+def _linked(close: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """The links (a, b) among pairs, by the full sets; written. The pairs of one b are dealt into parts by their number, and its
+    text goes to each part."""
+    parts = close.groupBy("b").agg(_parts(F.count(F.lit(1)), BLOCK).alias("parts"))
+    dealt = written(close.join(parts, "b").select("a", "b", _part("a", F.col("parts")).alias("part"), "parts"), "dealt")
+    ours = dealt.select("a", "b", "part").join(texts.select(F.col("cid").alias("a"), F.col("t").alias("s")), "a")
+    theirs = dealt.select("b", "parts").distinct().select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    theirs = theirs.join(texts.select(F.col("cid").alias("b"), "t"), "b")
+    both = ours.join(theirs, ["b", "part"]).select("a", "b", "s", "t").mapInArrow(_judge(how), "a long, b long, linked boolean")
+    links = written(both.where("linked").select("a", "b").distinct(), "links")
+    forget(dealt)
+    return links
 
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
@@ -222,95 +273,140 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         step = at.join(best, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("mid"))
         jump = at.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
         new = written(step.join(jump, "mid", "left").select("node", "was", F.coalesce(F.least("mid", "far"), "mid").alias("comp")), tag)
+        forget(at)
         if not new.where("was <> comp").limit(1).count():
-            return new.select("node", "comp")
-        at = new.select("node", "comp")
+            forget(both)
+            return new
+        at = new
+
 
+def _close_pairs(active: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """a, b of all pairs in a bucket, but not in a component, whose second signatures are close; written.
 
-def _close_pairs(active: DataFrame, docs: DataFrame, how: NearDup) -> DataFrame:
-    """a, b of all pairs in a bucket, but not in a component, whose second signatures are close."""
+    A bucket is cut into blocks of BLOCK rows at most, and each pair of blocks meets in a task of its own."""
     names = [f"w{k}" for k in range(_LONGS)]
-    wide = written(_texts(docs, active.select("cid").distinct()).mapInArrow(_widely_signed(how), ", ".join(f"{c} long" for c in ["cid", *names])), "wide")
+    left = active.select("cid").distinct()
+    wide = written(texts.join(left, "cid", "left_semi").select("cid", "t").mapInArrow(_widely_signed(how), ", ".join(f"{c} long" for c in ["cid", *names])), "wide")
     keys = active.groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    one = active.select("key", "cid", "comp").join(wide.join(keys, "cid"), "cid")
+    blocks = active.groupBy("key").agg(_parts(F.count(F.lit(1)), BLOCK).alias("blocks"))
+    one = active.select("key", "cid", "comp").join(wide.join(keys, "cid"), "cid").join(blocks, "key")
+    one = one.withColumn("mine", _part("cid", F.col("blocks")))
     two = one.withColumnsRenamed({"cid": "b", "comp": "comp_b", "keys": "okeys"} | {c: f"o{c}" for c in names})
+    zero, last = F.lit(0).cast("long"), F.col("blocks") - 1
+    one = one.select("*", F.col("mine").alias("p"), F.explode(F.sequence(F.col("mine"), last)).alias("q")).drop("mine", "blocks")
+    two = two.select("*", F.explode(F.sequence(zero, F.col("mine"))).alias("p"), F.col("mine").alias("q")).drop("mine", "blocks")
     # Of each symbol that differs, the lower bit is set.
     apart = [f"bit_count(({c} ^ o{c} | shiftrightunsigned({c} ^ o{c}, 1)) & 6148914691236517205L)" for c in names]
     first, rest = " + ".join(apart[: _LONGS // 4]), " + ".join(apart)
     # Most pairs differ too much in the first quarter already.
     close = f"{first} <= {_wide_errors(how, WIDE // 4, 6)} and {rest} <= {_wide_errors(how, WIDE, 5)}"
-    pairs = one.join(two, "key").where(f"cid > b and comp <> comp_b and {close}")
+    pairs = one.join(two, ["key", "p", "q"]).where(f"(p < q or cid > b) and comp <> comp_b and {close}")
     # A pair that meets in several buckets is taken in the first.
     pairs = pairs.where("array_intersect(keys, okeys)[0] = key")
-    return written(pairs.select(F.col("cid").alias("a"), "b").distinct(), "candidates")
+    out = written(pairs.select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b")).distinct(), "candidates")
+    forget(wide)
+    return out
 
 
 def _also(old: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if old is None else old.union(more)
 
 
-def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (the component's smallest doc_id); a row for each row of docs."""
-    signs = signed(docs, how)
-    classes = written(
-        signs.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")),
-        "classes",
-    )
-    s = F.col("sig")
-    keys = [F.xxhash64(F.lit(i), *(s[p] for p in kept)) for i, kept in enumerate(how.left_out())]
-    rows = classes.select("cid", F.explode(F.array(*keys)).alias("key"))
+def grouped(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
+    """doc_id, th, n_shingles, cid (the number of the text's class), comp (the smallest cid reachable) of each row of docs,
+    written; cid and comp are null without doc_id or shingles."""
+    signs = written(signed(docs, how), "signed")
+    classes = signs.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("first"), *(F.min(c).alias(c) for c in how.columns()))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"), *how.columns()), "classes")
+    rows = classes.select("cid", F.explode(F.array(*how.keys())).alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     active = written(rows.join(shared, "key"), "buckets")
+    texts = _texts(docs, classes.select("cid", "id", "th").join(active.select("cid").distinct(), "cid", "left_semi"))
     degree = active.groupBy("cid").agg(F.sum("n").alias("degree"))
-    active = active.join(degree, "cid").select("key", "cid", F.col("cid").alias("comp"), "degree")
-    links, tested, parts = None, None, 1
+    active, old = written(active.join(degree, "cid").select("key", "cid", F.col("cid").alias("comp"), "degree", _parts(F.col("n"), TOGETHER).alias("parts")), "buckets"), active
+    forget(old)
+    links, tested, leads = None, None, 1
     few = left = active.count()
     while left:
-        part = F.pmod(F.xxhash64("cid", "key"), F.lit(parts))
-        best = F.min(F.struct((-F.col("degree")).alias("d"), F.col("cid"), F.col("comp")))
-        leaders = written(active.groupBy("key", part.alias("part")).agg(best.alias("l")).select("key", F.col("l.cid").alias("b"), F.col("l.comp").alias("comp_b")), "leaders")
-        pairs = active.join(leaders, "key").where("cid <> b and comp <> comp_b").select(F.col("cid").alias("a"), "b").distinct()
+        lead = F.pmod(F.xxhash64("cid", "key"), F.lit(leads))
+        best = F.min(F.struct((-F.col("degree")).alias("d"), F.col("cid"), F.col("comp"), F.col("parts")))
+        leaders = written(active.groupBy("key", lead.alias("lead")).agg(best.alias("l")).select("key", F.col("l.cid").alias("b"), F.col("l.comp").alias("comp_b"), F.col("l.parts").alias("parts")), "leaders")
+        theirs = leaders.select("key", "b", "comp_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        pairs = active.withColumn("part", _part("cid", F.col("parts"))).join(theirs, ["key", "part"]).where("cid <> b and comp <> comp_b").select(F.col("cid").alias("a"), "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "candidates")
-        links = _also(links, _linked(_within(pairs, classes, how), docs, how))
+        close = _within(pairs, classes, how)
+        links = _also(links, _linked(close, texts, how))
+        forget(close)
         tested = _also(tested, pairs)
-        active = active.drop("comp").join(leaders.select("key", F.col("b").alias("cid")), ["key", "cid"], "left_anti")
-        active = active.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"), "degree")
-        active = written(active, "buckets")
-        mixed = active.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        active = written(active.join(mixed, "key"), "buckets")
+        rest = active.drop("comp").join(leaders.select("key", F.col("b").alias("cid")), ["key", "cid"], "left_anti")
+        named = components(links)
+        rest = rest.join(named.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"), "degree", "parts")
+        rest = written(rest, "buckets")
+        mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        more = written(rest.join(mixed, "key"), "buckets")
+        forget(active, rest, leaders, named)
+        active = more
         left = active.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
         if left <= FEW * few:
             break
-        parts *= 4
+        leads *= 4
     if left:
-        links = _also(links, _linked(_close_pairs(active, docs, how), docs, how))
-    out = signs.select("doc_id", "n_shingles", "d1", "d2")
-    if links is None:
-        named = classes.select("d1", "d2", F.col("cid").alias("comp"))
-    else:
-        named = classes.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("d1", "d2", F.coalesce("comp", "cid").alias("comp"))
-    out = out.join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("comp"))).otherwise(F.col("doc_id")).alias("component_id"))
+        close = _close_pairs(active, texts, how)
+        links = _also(links, _linked(close, texts, how))
+    named = classes.select("d1", "d2", "cid", F.col("cid").alias("comp"))
+    if links is not None:
+        found = components(links)
+        named = classes.join(found.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("d1", "d2", "cid", F.coalesce("comp", "cid").alias("comp"))
+    own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    out = signs.select("doc_id", "th", "n_shingles", *(F.when(own, F.col(d)).alias(d) for d in ("d1", "d2"))).join(named, ["d1", "d2"], "left")
+    out = written(out.select("doc_id", "th", "n_shingles", "cid", "comp"), "grouped")
+    forget(signs, classes, texts, active)
+    return out
+
+
+def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (the component's smallest doc_id); a row for each row of docs."""
+    rows = grouped(docs, how)
+    own = rows.where("comp is not null")
+    several = own.groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z").select("doc_id", "a")
+    several = written(several, "several")
+    if not several.isEmpty():
+        # Texts of one document join their components.
+        edges = own.select("doc_id", "comp").distinct().join(several, "doc_id").select("a", F.col("comp").alias("b"))
+        wider = components(edges, "documents").select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+        rows = rows.join(wider, "comp", "left").withColumn("comp", F.coalesce("whole", "comp")).drop("whole")
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    # A blank text of a document with others belongs to them.
+    blank = rows.where("comp is null and doc_id is not null").select("doc_id").distinct().join(rows.where("comp is not null").select("doc_id", "comp").distinct(), "doc_id")
+    out = rows.join(least, "comp", "left")
+    blank = blank.join(least, "comp").select(F.col("doc_id").alias("blank_id"), F.col("least").alias("other"))
+    out = out.join(blank, (out["doc_id"] == blank["blank_id"]) & out["comp"].isNull(), "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("least", "other", "doc_id").alias("component_id"))
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """docs without those that another document of their component stands for; all columns stay.
-
-    Of several rows with the doc_id that stays, the one with the least text does. Rows that are linked with nothing (blank
-    texts, no doc_id) all stay."""
-    judged = written(near_duplicates(docs, how), "judged")
-    own = docs["doc_id"].cast("long")
-    gone = judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, own == gone["__id"], "left_anti")
-    again = judged.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    again = written(again.select(F.col("doc_id").alias("__id")), "repeated")
+    """docs with one row for each group of linked texts; all columns stay.
+
+    The row with the least doc_id of the group stays, of several such the one whose text and then whose other columns hash
+    least. A group is of texts: a document's other text stays or goes with its own group. Rows that are linked with nothing
+    (blank texts, no doc_id) all stay."""
+    rows = grouped(docs, how).where("comp is not null")
+    first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.count(F.lit(1)).alias("n"))
+    first = written(first.select("comp", "f.doc_id", "f.th"), "first")
+    id_, th = unused(docs, "id", "th")
+    gone = rows.join(first, ["comp", "doc_id", "th"], "left_anti").select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct()
+    text = text_of(docs["text"])
+    here = (docs["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(text) == F.col(th))
+    kept = docs.join(gone, here, "left_anti")
+    again = rows.join(first, ["comp", "doc_id", "th"], "left_semi").groupBy("doc_id", "th").count().where("count > 1")
+    again = written(again.select(F.col("doc_id").alias(id_), F.col("th").alias(th)), "repeated")
     if again.isEmpty():
         return kept
-    blank = F.size(words_of(text_of(docs["text"]))) == 0
-    once = kept.join(again, own == again["__id"], "left_anti")
-    rows = kept.join(again, own == again["__id"], "left_semi")
+    once, several = kept.join(again, here, "left_anti"), kept.join(again, here, "left_semi")
     row = F.struct(*(docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)))
-    first = rows.where(~blank).groupBy(own.alias("doc")).agg(F.min_by(row, docs["text"]).alias("row"))
-    return once.union(rows.where(blank)).union(first.select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns))))
+    least = several.select(docs["doc_id"].cast("long").alias("doc"), F.xxhash64(text).alias("th"), row.alias("row"))
+    least = least.groupBy("doc", "th").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.union(least.select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns))))

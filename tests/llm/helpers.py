@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names could clash with ones that operators make.
-CLASHING = "th string, key string, cid long, row string, level string, hits string, n long, __id long, __row string"
+CLASHING = "th string, key string, cid long, row string, level string, hits string, n long, __id long, __row string, id string, _id long, g1 string, __g1 string, __words long, __size long, __taken long, __th long, words string, size string"
 
 
 def documents(spark: SparkSession, rows: list[tuple], clashing: bool = False) -> DataFrame:
@@ -16,7 +16,7 @@ def documents(spark: SparkSession, rows: list[tuple], clashing: bool = False) ->
     full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1])) for r in rows]
     if not clashing:
         return spark.createDataFrame(full, SCHEMA)
-    return spark.createDataFrame([(*r, "x", None, 1, None, "y", "z", 7, None, "w") for r in full], f"{SCHEMA}, {CLASHING}")
+    return spark.createDataFrame([(*r, "x", None, 1, None, "y", "z", 7, None, "w", "v", 3, None, "u", 5, None, 2, 9, "t", "s") for r in full], f"{SCHEMA}, {CLASHING}")
 
 
 def awkward() -> list[tuple]:
