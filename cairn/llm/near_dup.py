@@ -312,9 +312,9 @@ def _also(old: DataFrame | None, more: DataFrame) -> DataFrame:
     return more if old is None else old.union(more)
 
 
-def grouped(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
-    """doc_id, th, n_shingles, cid (the number of the text's class), comp (the smallest cid reachable) of each row of docs,
-    written; cid and comp are null without doc_id or shingles."""
+def _linked_classes(docs: DataFrame, how: NearDup) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Written tables: the signed rows (doc_id, th, n_shingles, d1, d2); the classes (cid, d1, d2, and id and th of a text of it, id
+    the smallest); the links (a, b, by cid), if any."""
     signs = written(signed(docs, how), "signed")
     classes = signs.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("first"), *(F.min(c).alias(c) for c in how.columns()))
     classes = written(classes.select(F.monotonically_increasing_id().alias("cid"), "d1", "d2", F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"), *how.columns()), "classes")
@@ -355,35 +355,39 @@ def grouped(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     if left:
         close = _close_pairs(active, texts, how)
         links = _also(links, _linked(close, texts, how))
-    named = classes.select("d1", "d2", "cid", F.col("cid").alias("comp"))
-    if links is not None:
-        found = components(links)
-        named = classes.join(found.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("d1", "d2", "cid", F.coalesce("comp", "cid").alias("comp"))
-    own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    out = signs.select("doc_id", "th", "n_shingles", *(F.when(own, F.col(d)).alias(d) for d in ("d1", "d2"))).join(named, ["d1", "d2"], "left")
-    out = written(out.select("doc_id", "th", "n_shingles", "cid", "comp"), "grouped")
-    forget(signs, classes, texts, active)
-    return out
+    forget(texts, active)
+    return signs, classes, links
+
+
+_OWN = "doc_id is not null and n_shingles > 0"
 
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (the component's smallest doc_id); a row for each row of docs."""
-    rows = grouped(docs, how)
-    own = rows.where("comp is not null")
-    several = own.groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z").select("doc_id", "a")
-    several = written(several, "several")
+    signs, classes, links = _linked_classes(docs, how)
+    ids = classes.select("cid", "id")
+    edges = None
+    if links is not None:
+        edges = links.join(ids.withColumnsRenamed({"cid": "a", "id": "ida"}), "a").join(ids.withColumnsRenamed({"cid": "b", "id": "idb"}), "b").select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    own, blank = F.expr(_OWN), F.expr("n_shingles = 0")
+    sums = [f(F.when(own, F.col(d))).alias(f"{n}_{d}") for d in ("d1", "d2") for n, f in (("lo", F.min), ("hi", F.max))]
+    several = signs.where("doc_id is not null").groupBy("doc_id").agg(*sums, F.count_if(blank).alias("blank"), F.count_if(own).alias("own"))
+    several = written(several.where("lo_d1 <> hi_d1 or lo_d2 <> hi_d2 or blank > 0 and own > 0").select("doc_id"), "several")
+    texts = None
     if not several.isEmpty():
-        # Texts of one document join their components.
-        edges = own.select("doc_id", "comp").distinct().join(several, "doc_id").select("a", F.col("comp").alias("b"))
-        wider = components(edges, "documents").select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
-        rows = rows.join(wider, "comp", "left").withColumn("comp", F.coalesce("whole", "comp")).drop("whole")
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    # A blank text of a document with others belongs to them.
-    blank = rows.where("comp is null and doc_id is not null").select("doc_id").distinct().join(rows.where("comp is not null").select("doc_id", "comp").distinct(), "doc_id")
-    out = rows.join(least, "comp", "left")
-    blank = blank.join(least, "comp").select(F.col("doc_id").alias("blank_id"), F.col("least").alias("other"))
-    out = out.join(blank, (out["doc_id"] == blank["blank_id"]) & out["comp"].isNull(), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("least", "other", "doc_id").alias("component_id"))
+        # A document with several texts joins their components.
+        texts = signs.where(_OWN).join(several, "doc_id").join(classes.select("d1", "d2", "id"), ["d1", "d2"]).select("doc_id", "id").distinct()
+        edges = _also(edges, texts.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    named = classes.select("d1", "d2", "id", F.col("id").alias("least"))
+    if edges is not None:
+        found = components(edges, "documents")
+        named = classes.join(found.select(F.col("node").alias("id"), "comp"), "id", "left").select("d1", "d2", "id", F.coalesce("comp", "id").alias("least"))
+    out = signs.select("doc_id", "n_shingles", *(F.when(own, F.col(d)).alias(d) for d in ("d1", "d2"))).join(named.drop("id"), ["d1", "d2"], "left")
+    if texts is not None:
+        # So do its blank ones.
+        other = texts.join(named.select("id", "least").distinct(), "id").groupBy("doc_id").agg(F.min("least").alias("other")).withColumnRenamed("doc_id", "several")
+        out = out.join(other, (out["doc_id"] == other["several"]) & out["least"].isNull(), "left").withColumn("least", F.coalesce("least", "other"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -393,8 +397,14 @@ def one_of_each(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     The row with the least doc_id of the group stays, of several such the one whose text and then whose other columns hash
     least. A group is of texts: a document's other text stays or goes with its own group. Rows that are linked with nothing
     (blank texts, no doc_id) all stay."""
-    rows = grouped(docs, how).where("comp is not null")
-    first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.count(F.lit(1)).alias("n"))
+    signs, classes, links = _linked_classes(docs, how)
+    named = classes.select("d1", "d2", F.col("cid").alias("comp"))
+    if links is not None:
+        found = components(links)
+        named = classes.join(found.select(F.col("node").alias("cid"), "comp"), "cid", "left").select("d1", "d2", F.coalesce("comp", "cid").alias("comp"))
+    rows = written(signs.where(_OWN).join(named, ["d1", "d2"]).select("doc_id", "th", "comp"), "grouped")
+    forget(signs, classes)
+    first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("f"))
     first = written(first.select("comp", "f.doc_id", "f.th"), "first")
     id_, th = unused(docs, "id", "th")
     gone = rows.join(first, ["comp", "doc_id", "th"], "left_anti").select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct()

@@ -194,19 +194,16 @@ def test_repeated_rows_stay_once(spark):
     assert_kept([(r.doc_id, r.text) for r in kept.collect()], rows, N.NearDup())
 
 
-X, Y, Z = "one text about the first of these things", "quite another text that says something else", "and a third that no one has seen before"
-
-
-@pytest.mark.parametrize(
-    "rows",
-    [
-        [(5, X), (5, Y), (3, Y), (9, X)],
-        [(5, X), (5, Y), (3, Y), (9, X), (9, Z), (2, Z), (2, ""), (2, None), (7, ""), (None, X)],
-        [(1, X), (1, Y), (1, Z), (1, ""), (2, X), (3, Y), (4, Z)],
-        [(4, X), (4, X + " more"), (4, Y), (1, Y), (1, Y)],
-    ],
-)
-def test_documents_with_several_texts_lose_none(spark, rows):
+def test_documents_with_several_texts_lose_none(spark):
+    """Rows linked on both sides of a document's texts, blank texts among them, four tables in one."""
+    x, y, z = "one text about the first of these things", "quite another text that says something else", "and a third that no one has seen before"
+    cases = [
+        [(5, x), (5, y), (3, y), (9, x)],
+        [(5, x), (5, y), (3, y), (9, x), (9, z), (2, z), (2, ""), (2, None), (7, ""), (None, x)],
+        [(1, x), (1, y), (1, z), (1, ""), (2, x), (3, y), (4, z)],
+        [(4, x), (4, x + " more"), (4, y), (1, y), (1, y)],
+    ]
+    rows = [(i if i is None else 100 * k + i, t and " ".join(f"{w}{k}" for w in t.split())) for k, case in enumerate(cases) for i, t in case]
     docs = documents(spark, rows, clashing=True)
     assert found(N.near_duplicates(docs, N.QUERY)) == brute(rows, N.QUERY)
     assert_kept([(r.doc_id, r.text) for r in N.one_of_each(docs).collect()], rows, N.NearDup())
