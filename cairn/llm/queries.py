@@ -85,18 +85,10 @@ v AS (SELECT *, lim / weight AS ratio FROM w),
 u AS (SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY ratio, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY ratio, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v),
 t AS (SELECT *, least(weight * (SELECT level FROM u WHERE level <= ratio ORDER BY ratio, r LIMIT 1), lim) AS target FROM u),
-b AS (SELECT greatest({mixing.BLOCK}, (any_value(total) + {mixing.SLOTS - 1}) // {mixing.SLOTS}) AS block, any_value(total) AS total FROM t),
-c AS (SELECT *, CAST(floor(target) AS BIGINT) AS whole, CAST(sum(floor(target)) OVER (ORDER BY r) AS BIGINT) AS upto, CAST(sum(floor(target)) OVER () AS DOUBLE) AS al FROM t),
-i AS (SELECT r, (source_size + block - 1) // block AS blocks, floor(CAST(upto - whole AS DOUBLE) / al * {mixing.M}) AS lo, floor(CAST(upto AS DOUBLE) / al * {mixing.M}) AS hi FROM c, b WHERE whole > 0),
-x AS (SELECT slot, (slot * {mixing.G}) % {mixing.M} AS x FROM (SELECT unnest(range((total + block - 1) // block)) AS slot FROM b)),
-k AS (SELECT r, blocks, row_number() OVER (PARTITION BY r ORDER BY slot) - 1 AS rank FROM x JOIN i ON x.x >= i.lo AND x.x < i.hi),
-n AS (SELECT r, rank % blocks AS block, least(count(*), {mixing.MOST}) AS times FROM k GROUP BY ALL),
-d AS (SELECT s.doc_id, s.size, t.source_size, t.target, t.r, row_number() OVER () AS row,
-    coalesce(sum(s.size) OVER (PARTITION BY t.r ORDER BY s.place, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-    FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT d.*, b.block AS width, unnest(range(CAST(start // b.block AS BIGINT), CAST((start + size - 1) // b.block AS BIGINT) + 1)) AS block FROM d, b WHERE size > 0),
-g AS (SELECT row, sum((least(start + size, (e.block + 1) * width) - greatest(start, e.block * width)) * times) AS taken FROM e JOIN n USING (r, block) GROUP BY row)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d LEFT JOIN g USING (row)
+d AS (SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS whole,
+    CAST(coalesce(sum(s.size) OVER (PARTITION BY t.r ORDER BY s.place, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE whole // source_size * size + greatest(0, least(size, whole % source_size - start)) END AS taken FROM d
 """
 
 WARC_SQL = """
