@@ -6,12 +6,14 @@ have reached the threshold. Inserting documents adds to the counts and puts keys
 shard's filter; deleting documents subtracts and takes keys that fall below it out again, which a cuckoo filter can
 do and a Bloom filter can't. So inserting and then deleting the same documents gives the state from before.
 
-To drop lines, executors ask the filters first: a miss is certain, so most lines are never shuffled. Hits are confirmed
-against ``refs`` in a salted join. Filters are sent to the executors only while they take at most FILTER_BYTES;
-beyond that every line goes to the join, with the same result.
+To drop lines, every line key of the documents goes to its shard's filter: a miss is certain, so most lines end there. Hits
+are confirmed against ``refs`` in a join. It is the same way at every size: filters and lines meet by shard, nothing is sent out whole but
+a number for each shard. A shard's lines are dealt into parts of about TOGETHER by the exact counts, each part with the
+shard's filter, and the hits of a key that more than TOGETHER documents have into parts by that key's count.
 
 Defined results: null and empty texts are one empty line, which has no key and stays. A row is a document, so a
-repeated row counts twice. A text whose lines all go becomes empty. Other columns play no part.
+repeated row counts twice. A text whose lines all go becomes empty. Deleting a document that was never inserted raises.
+Other columns play no part.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_of, written
+from . import tokens as T
+from .common import bound_batches, forget, text_of, unused, written
 
 _U = np.uint64
 #: Slots of a bucket, keys of a shard to aim at, moves before a filter counts as full, and how full to plan it.
 SLOTS, SHARD_KEYS, MOVES, FILL = 4, 1 << 14, 500, 0.8
-#: Filters up to this size go to the executors.
-FILTER_BYTES = 32 << 20
-#: Parts into which the lines of one key are dealt.
-SALTS = 16
+#: Shards at most, as each is a number on every executor; beyond that they hold more keys.
+MOST_SHARDS = 1 << 20
+#: Lines of a shard, and of a key, that stay together.
+TOGETHER = 200_000
 
 
 class Cuckoo:
@@ -75,6 +78,14 @@ class Cuckoo:
                 return True
         return False
 
+    def may_have(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+        mark = (k1 & _U(0xFFFF)).astype(np.int64)
+        mark[mark == 0] = 1
+        one = (k2 & _U(self.mask)).astype(np.int64)
+        two = (one ^ (mark * 0x5BD1E995 >> 3)) & self.mask
+        m = mark[:, None].astype(np.uint16)
+        return (self.slots[one] == m).any(1) | (self.slots[two] == m).any(1)
+
     def delete(self, k1: int, k2: int) -> bool:
         mark, at = self.print_of(k1), k2 & self.mask
         for bucket in (at, self.other(at, mark)):
@@ -85,33 +96,6 @@ class Cuckoo:
         return False
 
 
-class Screen:
-    """All shards' filters side by side, asked for many keys at once."""
-
-    def __init__(self, shards: int, rows: list[tuple[int, int, bytes]]):
-        self.shards = shards
-        self.start, self.mask = np.zeros(shards, np.int64), np.full(shards, -1, np.int64)
-        parts, at = [], 0
-        for shard, buckets, slots in rows:
-            self.start[shard], self.mask[shard] = at, buckets - 1
-            parts.append(np.frombuffer(slots, np.uint16).reshape(buckets, SLOTS))
-            at += buckets
-        self.slots = np.concatenate(parts) if parts else np.zeros((0, SLOTS), np.uint16)
-
-    def may_have(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-        shard = shard_of(k1, self.shards)
-        mask, start = self.mask[shard], self.start[shard]
-        out = mask >= 0
-        ask = np.flatnonzero(out)
-        mark = (k1[ask] & _U(0xFFFF)).astype(np.int64)
-        mark[mark == 0] = 1
-        one = (k2[ask] & mask[ask].astype(_U)).astype(np.int64)
-        two = (one ^ (mark * 0x5BD1E995 >> 3)) & mask[ask]
-        m = mark[:, None].astype(np.uint16)
-        out[ask] = (self.slots[start[ask] + one] == m).any(1) | (self.slots[start[ask] + two] == m).any(1)
-        return out
-
-
 def shard_of(k1: np.ndarray, shards: int) -> np.ndarray:
     return ((k1 >> _U(40)) & _U(shards - 1)).astype(np.int64)
 
@@ -128,28 +112,69 @@ def _keys(text: bytes, shortest: int) -> list[bytes]:
     return out
 
 
-def _line_keys(shortest: int, screen=None):
-    """doc_id, th, k1, k2 for each distinct key of each row that the screen lets through."""
+def _line_keys(shortest: int):
+    """doc_id, th, k1, k2 for each distinct key of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, rows = [], []
-            for r, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
-                own = set(_keys(text, shortest))
-                own.discard(b"")
-                found += own
-                rows += [r] * len(own)
-            keys = np.frombuffer(b"".join(found), _U).reshape(-1, 2)
-            rows = np.array(rows, np.int64)
-            if screen is not None and len(keys):
-                hit = screen.value.may_have(keys[:, 0], keys[:, 1])
-                keys, rows = keys[hit], rows[hit]
+            keys, rows = _distinct_keys(b.column(2), shortest)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(keys[:, k].copy().view(np.int64)) for k in (0, 1))], ["doc_id", "th", "k1", "k2"])
 
     return run
 
 
+def _distinct_keys(texts: pa.Array, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    found, rows = [], []
+    for r, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+        own = set(_keys(text, shortest))
+        own.discard(b"")
+        found += own
+        rows += [r] * len(own)
+    return np.frombuffer(b"".join(found), _U).reshape(-1, 2), np.array(rows, np.int64)
+
+
+def _dealt(doc_id: np.ndarray, th: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The part of so many that a document's line goes to: by its own hash, alike in every run."""
+    return (T.mix(T.mix(doc_id.astype(_U)) + th.astype(_U)) % parts.astype(_U)).astype(np.int64)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _dealt_lines(shortest: int, parts):
+    """The lines, with the shard and the part of it that they go to; those of shards without a filter end here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = parts.value
+        for b in batches:
+            keys, rows = _distinct_keys(b.column(2), shortest)
+            shard = shard_of(keys[:, 0], len(of))
+            own = of[shard] > 0
+            keys, rows, shard = keys[own], rows[own], shard[own]
+            take = pa.array(rows)
+            doc, th = b.column(0).take(take), b.column(1).take(take)
+            part = _dealt(_ids(doc), th.to_numpy(zero_copy_only=False), of[shard])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(part), doc, th, *(pa.array(keys[:, k].copy().view(np.int64)) for k in (0, 1))], ["shard", "part", "doc_id", "th", "k1", "k2"])
+
+    return run
+
+
+def _probe(key: tuple, lines: pa.Table, filters: pa.Table) -> pa.Table:
+    """The lines of a part that its shard's filter lets through, with the part of their key (0 unless it is in many documents)."""
+    (f,) = filters.to_pylist()
+    k1, k2 = (lines[c].to_numpy().view(_U) for c in ("k1", "k2"))
+    hit = Cuckoo(f["buckets"], np.frombuffer(f["slots"], np.uint16)).may_have(k1, k2)
+    out = lines.filter(pa.array(hit)).select(["doc_id", "th", "k1", "k2"]).combine_chunks()
+    parts = np.ones(len(out), np.int64)
+    k1, k2 = k1[hit].view(np.int64), k2[hit].view(np.int64)
+    for many in f["many"] or ():
+        parts[(k1 == many["k1"]) & (k2 == many["k2"])] = many["parts"]
+    doc, th = _ids(out["doc_id"].combine_chunks()), out["th"].to_numpy()
+    return out.append_column("part", pa.array(_dealt(doc, th, parts)))
+
+
 _LINE = "doc_id long, th long, k1 long, k2 long"
 _FILTER = "shard long, buckets long, slots binary, keys long"
 
@@ -202,7 +227,7 @@ class LineState:
         lines = _identified(docs).mapInArrow(_line_keys(shortest), _LINE)
         refs = written(lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")), "line-refs")
         hot = refs.where(F.col("n") >= at_least)
-        shards = 1 << max(0, int(np.ceil(np.log2(max(hot.count(), 1) / SHARD_KEYS))))
+        shards = _shards(hot.count())
         return LineState(spark, refs, _filters(hot, shards), shards, at_least, shortest)
 
     def inserted(self, docs: DataFrame) -> LineState:
@@ -217,7 +242,14 @@ class LineState:
         both = self.refs.join(more, ["k1", "k2"], "full")
         now = both.select("k1", "k2", F.coalesce("n", F.lit(0)).alias("was"), (F.coalesce("n", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n"))
         now = written(now, "line-changes")
+        if not now.where("n < 0").isEmpty():
+            forget(now)
+            raise ValueError("a document is deleted that was never inserted")
         refs = written(now.where("n > 0").drop("was"), "line-refs")
+        shards = _shards(refs.where(F.col("n") >= self.at_least).count())
+        if shards > 4 * self.shards:
+            forget(now)
+            return replace(self, refs=refs, filters=_filters(refs.where(F.col("n") >= self.at_least), shards), shards=shards)
         over, before = F.col("n") >= self.at_least, F.col("was") >= self.at_least
         changes = now.where(over != before).select(_shard(self.shards).alias("shard"), "k1", "k2", over.alias("put"))
         touched = self.filters.join(changes.select("shard").distinct(), "shard", "left_semi")
@@ -226,21 +258,27 @@ class LineState:
         hot = refs.where(F.col("n") >= self.at_least).select("k1", "k2", _shard(self.shards).alias("shard")).join(full, "shard", "left_semi")
         same = self.filters.join(new.select("shard"), "shard", "left_anti")
         filters = same.union(new.where("slots is not null and keys > 0")).union(_filters(hot, self.shards))
-        return replace(self, refs=refs, filters=written(filters, "line-filters"))
-
-    def screen(self):
-        """The filters on the executors, or None where they take more than FILTER_BYTES."""
-        if (self.filters.agg(F.sum(F.length("slots"))).first()[0] or 0) > FILTER_BYTES:
-            return None
-        rows = [tuple(r) for r in self.filters.select("shard", "buckets", "slots").collect()]
-        return self.spark.sparkContext.broadcast(Screen(self.shards, rows))
+        filters = written(filters, "line-filters")
+        forget(now, new)
+        return replace(self, refs=refs, filters=filters)
 
     def dropped(self, docs: DataFrame) -> DataFrame:
         """doc_id, th, and the keys that go (gone) of each row that has any."""
-        lines = _identified(docs).mapInArrow(_line_keys(self.shortest, self.screen()), _LINE)
-        lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)))
-        hot = self.refs.where(F.col("n") >= self.at_least).select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
-        return lines.join(hot, ["k1", "k2", "salt"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
+        shard = _shard(self.shards).alias("shard")
+        parts = F.ceil(F.col("n") / F.lit(TOGETHER)).cast("long").alias("parts")
+        hot = self.refs.where(F.col("n") >= self.at_least)
+        per_shard = self.refs.groupBy(shard).agg(F.sum("n").alias("n")).select("shard", parts)
+        per_shard = written(self.filters.select("shard", "buckets", "slots").join(per_shard, "shard"), "line-probes")
+        of = np.zeros(self.shards, np.int32)
+        for r in per_shard.select("shard", "parts").toLocalIterator():
+            of[r["shard"]] = r["parts"]
+        lines = _identified(docs).mapInArrow(_dealt_lines(self.shortest, self.spark.sparkContext.broadcast(of)), "shard long, part long, " + _LINE)
+        # Keys of so many documents: at most one for each TOGETHER lines of the shard.
+        many = hot.where(F.col("n") > TOGETHER).select(shard, F.struct("k1", "k2", parts).alias("m")).groupBy("shard").agg(F.collect_list("m").alias("many"))
+        probes = per_shard.join(many, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "buckets", "slots", "many")
+        hits = lines.groupBy("shard", "part").cogroup(probes.groupBy("shard", "part")).applyInArrow(_probe, _LINE + ", part long")
+        sure = hot.select("k1", "k2", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)) - 1)).alias("part"))
+        return hits.join(sure, ["k1", "k2", "part"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
 
     def applied(self, docs: DataFrame) -> DataFrame:
         """doc_id, text (what is left), n_lines (before), n_dropped of each row of docs."""
@@ -250,6 +288,11 @@ class LineState:
         return both.mapInArrow(_without(self.shortest), "doc_id long, text string, n_lines long, n_dropped long")
 
 
+def _shards(keys: int) -> int:
+    """A power of two of shards for so many keys."""
+    return min(1 << max(0, int(np.ceil(np.log2(max(keys, 1) / SHARD_KEYS)))), MOST_SHARDS)
+
+
 def _shard(shards: int):
     return F.shiftrightunsigned("k1", 40).bitwiseAND(shards - 1).cast("long")
 
@@ -287,10 +330,11 @@ def deduplicated(docs: DataFrame, at_least: int = 10, shortest: int = 1) -> Data
 
 def without_common_lines(docs: DataFrame, at_least: int = 10, shortest: int = 1) -> DataFrame:
     """docs with their texts deduplicated and n_chars, if there, brought up to date; all columns stay."""
+    id_, th, g1, g2 = unused(docs, "id", "th", "g1", "g2")
     state = LineState.built(docs, at_least, shortest)
-    gone = state.dropped(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.transform("gone", lambda g: g["k1"]).alias("__g1"), F.transform("gone", lambda g: g["k2"]).alias("__g2"))
-    both = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__id"]) & (F.xxhash64(text_of(docs["text"])) == gone["__th"]), "left")
-    kept = F.when(F.col("__g1").isNull(), docs["text"]).otherwise(_stripped(shortest)(docs["text"], F.col("__g1"), F.col("__g2")))
+    gone = state.dropped(docs).select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.transform("gone", lambda g: g["k1"]).alias(g1), F.transform("gone", lambda g: g["k2"]).alias(g2))
+    both = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[id_]) & (F.xxhash64(text_of(docs["text"])) == gone[th]), "left")
+    kept = F.when(F.col(g1).isNull(), docs["text"]).otherwise(_stripped(shortest)(docs["text"], F.col(g1), F.col(g2)))
     new = both.select(*(kept.alias(c) if c == "text" else docs[c] for c in docs.columns))
     return new.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new
 

@@ -3,6 +3,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from cairn.llm import line_dedup as L
 from cairn.llm.queries import LINE_DEDUP_SQL
@@ -43,10 +45,50 @@ def test_against_brute_force(spark):
         assert found(L.deduplicated(documents(spark, rows, clashing=True), at_least)) == brute(rows, at_least)
 
 
-def test_without_filters_on_the_executors(spark, monkeypatch):
-    monkeypatch.setattr(L, "FILTER_BYTES", -1)
-    rows = corpus(2)
-    assert found(L.deduplicated(documents(spark, rows), 5)) == brute(rows, 5)
+def test_many_shards_and_parts(spark, monkeypatch):
+    """Filters of two keys or so, lines in parts of a few: the same lines go."""
+    rows = corpus(2) + [(500 + k, "\n".join(f"common {j}" for j in range(40))) for k in range(30)]
+    docs = documents(spark, rows)
+    monkeypatch.setattr(L, "SHARD_KEYS", 4)
+    monkeypatch.setattr(L, "TOGETHER", 9)
+    state = L.LineState.built(docs, 5)
+    assert state.shards > 4 and state.filters.count() > 4
+    assert found(state.applied(docs)) == brute(rows, 5)
+
+
+def probe(filters, keys, many=None):
+    lines = pa.table({"shard": [0] * len(keys), "part": [0] * len(keys), "doc_id": pa.array([None, *range(1, len(keys))][: len(keys)], pa.int64()), "th": pa.array(range(len(keys)), pa.int64()), "k1": pa.array([k for k, _ in keys], pa.int64()), "k2": pa.array([k for _, k in keys], pa.int64())})
+    f = pa.table({"shard": [0], "part": [0], "buckets": [filters.mask + 1], "slots": [filters.slots.tobytes()], "many": [many]})
+    return L._probe((0, 0), lines, f)
+
+
+def test_lines_end_at_the_filter():
+    r = random.Random(3)
+    keys = [(r.getrandbits(62), r.getrandbits(62)) for _ in range(3000)]
+    f = L.Cuckoo.planned(100)
+    assert all(f.insert(*k) for k in keys[:100])
+    out = probe(f, keys, [{"k1": keys[0][0], "k2": keys[0][1], "parts": 4}])
+    passed = set(zip(out["k1"].to_pylist(), out["k2"].to_pylist(), strict=True))
+    assert set(keys[:100]) <= passed and len(passed) < 120
+    assert out.column_names == ["doc_id", "th", "k1", "k2", "part"] and set(out["part"].to_pylist()[1:]) == {0}
+    assert probe(f, keys[:0]).num_rows == 0
+    spread = probe(f, [keys[0]] * 400, [{"k1": keys[0][0], "k2": keys[0][1], "parts": 4}])
+    assert set(spread["part"].to_pylist()) == {0, 1, 2, 3}
+
+
+def test_deleting_what_was_never_inserted(spark):
+    state = L.LineState.built(documents(spark, [(1, "a\nb")]), 2)
+    with pytest.raises(ValueError, match="never inserted"):
+        state.deleted(documents(spark, [(2, "c")]))
+
+
+def test_more_shards_as_keys_grow(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_KEYS", 4)
+    few = documents(spark, [(k, "a\nb") for k in range(3)])
+    many = [(10 + k, "\n".join(f"l {j}" for j in range(100))) for k in range(3)]
+    state = L.LineState.built(few, 3).inserted(documents(spark, many))
+    assert state.shards > 4
+    assert found(state.applied(documents(spark, many))) == brute(many, 3)
 
 
 def test_against_sql(spark, tmp_path):
@@ -78,10 +120,11 @@ def test_inserting_and_deleting_leads_back(spark):
     back = more.deleted(b)
     assert refs(back) == refs(state)
     assert found(back.applied(a)) == found(state.applied(a))
-    rows = [tuple(r) for r in back.filters.select("shard", "buckets", "slots").collect()]
-    screen = L.Screen(back.shards, rows)
     keys = np.array(sorted(hot(back)), np.int64).view(np.uint64).reshape(-1, 2)
-    assert screen.may_have(keys[:, 0], keys[:, 1]).all()
+    shard = L.shard_of(keys[:, 0], back.shards)
+    for r in back.filters.collect():
+        own = keys[shard == r.shard]
+        assert L.Cuckoo(r.buckets, np.frombuffer(r.slots, np.uint16)).may_have(own[:, 0], own[:, 1]).all()
     assert sum(r["keys"] for r in back.filters.collect()) == len(hot(back))
 
 
@@ -99,13 +142,11 @@ def test_cuckoo_filter():
     keys = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(4000)]
     f = L.Cuckoo.planned(len(keys))
     assert all(f.insert(*k) for k in keys)
-    screen = L.Screen(1, [(0, f.mask + 1, f.slots.tobytes())])
-    ask = lambda ks: screen.may_have(*(np.array(c, np.uint64) for c in zip(*ks, strict=True)))
+    ask = lambda ks: f.may_have(*(np.array(c, np.uint64) for c in zip(*ks, strict=True)))
     assert ask(keys).all()
     other = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(20_000)]
     assert ask(other).mean() < 0.01
     assert all(f.delete(*k) for k in keys[:2000])
-    screen = L.Screen(1, [(0, f.mask + 1, f.slots.tobytes())])
     assert ask(keys[2000:]).all() and ask(keys[:2000]).mean() < 0.01
     assert all(f.delete(*k) for k in keys[2000:]) and not f.slots.any()
 
