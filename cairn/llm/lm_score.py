@@ -10,9 +10,14 @@ context. It sums to one over the V known words and one unknown. Every word and e
 bucket of a context is its share of the training tokens, in powers of two. One training document in ten (crc32 of its id,
 remainder 1) is held out for the weights; then all training documents give the counts.
 
-Every count is exact, over the whole corpus. Documents are dealt into blocks of about BLOCK_BYTES; a block gives one row for
-each different word or pair of words that it holds, however often it occurs, so a frequent word is a row per block and no key
-is hot. What only one block holds needs no answer, as the block's own count is the count. Words and pairs are 64-bit hashes.
+Every word and every pair is counted over the whole corpus, as a 64-bit hash (``tokens``). Documents are dealt into blocks of
+about BLOCK_BYTES, held-out ones into blocks of their own. A block asks once for each different word or pair that it holds,
+however often it occurs, so no key has more rows than there are blocks. Its sorted keys are cut into parts of all keys; a
+part's keys go out as one packed row, and what comes back are the counts of the other blocks in the same order, mostly zeros, so that
+neither keys nor blocks are written again.
+
+The mixture's weights are learned from all held-out tokens in cells of about equal estimates, 1/GRID of a factor of ten wide, so
+an estimate is taken up to 6 percent off in learning (never in scoring); both estimates of a token stay together in a cell.
 
 Defined results: a null or empty text is the end token alone. A row without doc_id counts as id "" (held out). A row is a
 document, repeated or not. An empty table gives an empty result.
@@ -25,24 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import bound_batches, text_of, written
+from .common import bound_batches, forget, text_of, written
 
 _U = np.uint64
-BLOCK_BYTES = 8 << 20
-#: Keys are counted in so many passes, each over its own share of all keys, so that only that share is shuffled at a time.
-PASSES = 4
+#: Text of a block, and text whose keys make up a part.
+BLOCK_BYTES, PART_BYTES = 8 << 20, 16 << 20
 #: Rounds of expectation-maximisation, and cells for each factor of ten of a probability.
 ROUNDS, GRID = 40, 20
 #: The end of a text as a word, and as the context of the next text's first word.
 END = np.int64(0x3C6EF372FE94F82A)
-#: For callers of Weights that number their contexts: the shared class, and the start of a text.
-RARE, START = 0, 1 << 30
-#: Tokens counted together before they leave a worker.
-COUNT_TOGETHER = 2 << 20
 #: Where a cell of estimates has its parts, and the number that stands for an estimate of zero.
 _SHIFT, _ZERO = 13, -2000
 
@@ -61,38 +60,6 @@ def _tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, rows[1:], END), rows + np.arange(n + 1)
 
 
-def _counted(w: list[np.ndarray], held: list[np.ndarray]) -> pa.RecordBatch:
-    words, inverse = np.unique(np.concatenate(w), return_inverse=True)
-    k = np.bincount(inverse, np.concatenate(held), len(words)).astype(np.int64)
-    n = np.bincount(inverse, minlength=len(words))
-    return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n - k), pa.array(k)], ["w", "fit", "held"])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    w, held, n = [], [], 0
-    for b in batches:
-        data, at = T.buffers(b.column(1))
-        folds = b.column(0).to_numpy(zero_copy_only=False)
-        for i, j in T.pieces(at):
-            t, rows = _tokens(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            w.append(t)
-            held.append(np.repeat(folds[i:j] == 1, np.diff(rows)))
-            n += len(t)
-            if n >= COUNT_TOGETHER:
-                yield _counted(w, held)
-                w, held, n = [], [], 0
-    if n:
-        yield _counted(w, held)
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, none: int = 0) -> np.ndarray:
-    """The value of each asked key; keys ascend."""
-    if not len(keys):
-        return np.full(len(asked), none, np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], none)
-
-
 def _block(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of a block, their pairs with the word before, for each row the number of tokens before it, and each token's fold."""
     data, at = T.buffers(docs["text"])
@@ -115,30 +82,90 @@ def _before(values: np.ndarray, rows: np.ndarray, start) -> np.ndarray:
     return out
 
 
-def _ask(part: int):
-    """Each word and each pair of a block with its counts there, of one share of all keys."""
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, lowest bytes first, as many bytes of each as the largest needs: bytes alike lie together."""
+    n = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
+    return out.view("<u8").ravel()
+
+
+def _counts(x: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, ascending as unsigned numbers, how often each occurs in documents to fit and to hold out, and each token's key."""
+    keys, inverse = np.unique(x.view(_U), return_inverse=True)
+    fit, held = (np.bincount(inverse[own], minlength=len(keys)) for own in (fold > 1, fold == 1))
+    return keys, fit, held, inverse
+
+
+_ASK = "kind int, part long, block long, n long, keys binary, fit binary, held binary"
+_ANSWER = "kind int, part long, block long, n long, fit binary, held binary, kinds long, fit_kinds long, fit_tokens long, held_tokens long"
+
+
+def _ask(bits: int):
+    """Of a block, a row for each kind (0: words, 1: pairs) and part of the keys."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         w, pairs, _, fold = _block(docs)
-        out = []
-        for x in (w, pairs):
-            own = x.view(_U) % _U(PASSES) == part
-            keys, inverse = np.unique(x[own], return_inverse=True)
-            out.append((keys, *(np.bincount(inverse[at], minlength=len(keys)) for at in (fold[own] > 1, fold[own] == 1))))
-        keys, fit, held = map(np.concatenate, zip(*out, strict=True))
-        return pa.table({"block": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys), "fit": pa.array(fit), "held": pa.array(held)})
+        rows = []
+        for kind, x in enumerate((w, pairs)):
+            keys, fit, held, _ = _counts(x, fold)
+            part = keys >> _U(64 - bits) if bits else np.zeros(len(keys), _U)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                rows.append((kind, int(part[a]), key[0].as_py(), b - a, _packed(np.diff(keys[a:b], prepend=_U(0))), _packed(fit[a:b]), _packed(held[a:b])))
+        return _rows(_ASK, rows)
 
     return run
 
 
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else ([] for _ in fields)
+    return pa.table({name: pa.array(list(c), kind) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
+def _answer(key: tuple, asked: pa.Table) -> pa.Table:
+    """For each block that asked, how often its keys occur in other blocks; and a row (block -1) of totals."""
+    kind, part = (k.as_py() for k in key)
+    blocks, sizes = asked["block"].to_pylist(), asked["n"].to_pylist()
+    ends = np.cumsum([0, *sizes])
+    of = lambda c: [_unpacked(raw, n) for raw, n in zip(asked[c].to_pylist(), sizes, strict=True)]
+    keys, inverse = np.unique(np.concatenate([np.cumsum(d) for d in of("keys")]), return_inverse=True)
+    others, totals = [], []
+    for c in ("fit", "held"):
+        own = np.concatenate(of(c)).astype(np.int64)
+        # Sums stay whole up to 2^53 tokens.
+        total = np.bincount(inverse, own, len(keys)).astype(np.int64)
+        others.append(total[inverse] - own)
+        totals.append(total)
+    rows = [(kind, part, b, n, *(_packed(x[e : e + n]) for x in others), None, None, None, None) for b, n, e in zip(blocks, sizes, ends, strict=False)]
+    fit, held = totals
+    rows.append((kind, part, -1, 0, b"", b"", int((fit + held > 0).sum()), int((fit > 0).sum()), int(fit.sum()), int(held.sum())))
+    return _rows(_ANSWER, rows)
+
+
+def _answered(answers: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of words and of pairs, the counts (to fit, held out) of the other blocks, in the order of the block's keys."""
+    rows = sorted(zip(*(answers[c].to_pylist() for c in ("kind", "part", "n", "fit", "held")), strict=True), key=lambda r: r[:2])
+    out = []
+    for kind in (0, 1):
+        own = [r for r in rows if r[0] == kind]
+        out.append(tuple(np.concatenate([_unpacked(r[k], r[2]) for r in own]).astype(np.int64) for k in (3, 4)))
+    return out
+
+
 class Weights:
-    """The mixture: totals, counts of contexts, and (l2, l1, l0) for each bucket of contexts."""
+    """The mixture: totals, and (l2, l1, l0) for each bucket of contexts."""
 
-    def __init__(self, tokens: int, kinds: int, rare: int, contexts: dict[int, int]):
-        self.tokens, self.kinds, self.rare = tokens, kinds, rare
-        self.ctx = np.array(sorted(contexts), np.int64)
-        self.count = np.array([contexts[c] for c in self.ctx.tolist()], np.int64)
-        self.mix = np.zeros((1, 3))
+    def __init__(self, tokens: int, kinds: int):
+        self.tokens, self.kinds = tokens, kinds
+        self.mix = np.full((64, 3), 1 / 3)
 
     @staticmethod
     def bucket(count: np.ndarray, tokens: int) -> np.ndarray:
@@ -161,10 +188,6 @@ class Weights:
                 self.mix[b] = np.maximum((share * m[:, None]).sum(0) / m.sum(), 1e-6)
                 self.mix[b] /= self.mix[b].sum()
 
-    def log10(self, ctx: np.ndarray, pair: np.ndarray, c: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        """Of tokens with count c after numbered contexts; pair is how often their class follows it, rare whether they share one."""
-        return self.after(_look_up(self.ctx, self.count, ctx), pair * np.where(rare, c / max(self.rare, 1), 1.0), c)
-
     def after(self, n: np.ndarray, pair: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Of tokens with count c after contexts with count n, which they follow pair times."""
         l = self.mix[self.bucket(n, self.tokens)]
@@ -173,19 +196,12 @@ class Weights:
         return np.log10(p)
 
 
-def _answered(answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    keys, c = answers["key"].to_numpy(), answers[column].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], c[order]
-
-
 def _cells(fit: int):
     """The held-out tokens of a block, counted in cells of about equal estimates; fit: the tokens that are not held out."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        w, pairs, rows, _ = _block(docs)
-        found = _answered(answers, "fit")
-        c, pair = (_look_up(*found, x) for x in (w, pairs))
+        w, pairs, rows, fold = _block(docs)
+        c, pair = ((own_fit + others)[inverse] for (_, own_fit, _, inverse), (others, _) in zip((_counts(w, fold), _counts(pairs, fold)), _answered(answers), strict=True))
         n = _before(c, rows, c[rows[1:] - 1])
         known = n > 0
         c, pair, n = c[known], pair[known], n[known]
@@ -200,15 +216,7 @@ def _cells(fit: int):
 def _score(w: Weights):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         t, pairs, rows, fold = _block(docs)
-        asked, counts = _answered(answers, "c")
-        found = []
-        for x in (t, pairs):
-            keys, inverse = np.unique(x, return_inverse=True)
-            own = np.bincount(inverse[fold > 0], minlength=len(keys))
-            at = np.minimum(np.searchsorted(asked, keys), max(len(asked) - 1, 0))
-            c = np.where(asked[at] == keys, counts[at], own) if len(asked) else own
-            found.append(c[inverse])
-        c, pair = found
+        c, pair = ((fit + held + more_fit + more_held)[inverse] for (_, fit, held, inverse), (more_fit, more_held) in zip((_counts(t, fold), _counts(pairs, fold)), _answered(answers), strict=True))
         logs = w.after(_before(c, rows, c[rows[1:] - 1]), pair, c)
         first = rows[:-1]
         n = np.diff(rows)
@@ -235,28 +243,20 @@ def scored(docs: DataFrame) -> DataFrame:
     bound_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold().cast("long").alias("fold"), text_of().alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = own.where("fold > 0").select("fold", "text").mapInArrow(_count_words, "w long, fit long, held long").groupBy("w").agg(F.sum("fit").alias("fit"), F.sum("held").alias("held"))
-    fit, held, kinds, fit_kinds = words.agg(F.sum("fit"), F.sum("held"), F.count(F.lit(1)), F.count_if(F.col("fit") > 0)).first()
-    fit, held = fit or 0, held or 0
-
-    blocks = -(-size // BLOCK_BYTES) or 1
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    answers = None
-    for part in range(PASSES):
-        asked = dealt.groupBy("block").applyInArrow(_ask(part), "block long, key long, fit long, held long")
-        # A key has a row for each block that holds it, so at most as many as there are blocks.
-        every = W.partitionBy("key")
-        sums = asked.select("block", "key", (F.col("held") > 0).alias("here"), F.sum("fit").over(every).alias("fit"), F.sum("held").over(every).alias("held"), F.count(F.lit(1)).over(every).alias("n"))
-        some = written(sums.where("n > 1 or here").select("block", "key", "here", "fit", (F.col("fit") + F.col("held")).alias("c")), "answers")
-        answers = some if answers is None else answers.union(some)
-
-    w = Weights(fit + held, kinds, 0, {})
-    w.mix = np.full((64, 3), 1 / 3)
+    blocks, bits = -(-size // BLOCK_BYTES) or 1, max(0, (-(-size // PART_BYTES) - 1).bit_length())
+    row, held_blocks = F.xxhash64("doc_id", "text"), -(-blocks // 10)
+    dealt = own.withColumn("block", F.when(F.col("fold") == 1, F.lit(blocks) + F.pmod(row, F.lit(held_blocks))).otherwise(F.pmod(row, F.lit(blocks))))
+    asked = dealt.groupBy("block").applyInArrow(_ask(bits), _ASK)
+    answers = written(asked.groupBy("kind", "part").applyInArrow(_answer, _ANSWER), "answers")
+    fit, held, kinds, fit_kinds = (x or 0 for x in answers.where("kind = 0 and block = -1").agg(*map(F.sum, ("fit_tokens", "held_tokens", "kinds", "fit_kinds"))).first())
+    per_block = answers.where("block >= 0").select("kind", "part", "block", "n", "fit", "held")
+    w = Weights(fit + held, kinds)
     if fit:
-        held_out = dealt.where("fold = 1").groupBy("block")
-        cells = held_out.cogroup(answers.where("here").select("block", "key", "fit").groupBy("block")).applyInArrow(_cells(fit), "cell long, m long")
-        _learn(w, cells.groupBy("cell").agg(F.sum("m").alias("m")).collect(), Weights(fit, fit_kinds, 0, {}))
-    return dealt.groupBy("block").cogroup(answers.select("block", "key", "c").groupBy("block")).applyInArrow(_score(w), _SCORES)
+        cells = dealt.where("fold = 1").groupBy("block").cogroup(per_block.where(F.col("block") >= blocks).groupBy("block")).applyInArrow(_cells(fit), "cell long, m long")
+        cells = written(cells.groupBy("cell").agg(F.sum("m").alias("m")), "cells")
+        _learn(w, cells.collect(), Weights(fit, fit_kinds))
+        forget(cells)
+    return dealt.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(_score(w), _SCORES)
 
 
 def _learn(w: Weights, cells: list, learner: Weights) -> None:
