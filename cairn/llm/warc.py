@@ -31,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh_path, text_of, written
+from .common import bound_batches, forget, fresh_path, text_of, written
 
 #: Payloads of so many bytes are stored once.
 SHORTEST = 1000
 PIECE = 1 << 16
+#: Revisits that are sent to the executors, and the share of pages (1 in so many) from which on a digest counts as frequent.
+SENT_REVISITS, OFTEN = 300_000, 1000
 #: A record's head is no longer.
 HEAD = 1 << 20
 #: Records in one archive at most.
@@ -211,10 +213,30 @@ def write_archives(pages: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     bound_batches(spark)
     html = text_of("html")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).alias("n"), F.sha1(html.cast("binary")).alias("digest"))
-    first = p.where(F.col("n") >= shortest).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("digest").alias("d"), "first")
-    both = p.join(first, (F.col("digest") == F.col("d")) & (F.col("n") >= shortest), "left")
-    to = F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to")
-    return written(both.select("page_id", "url", "html", to).mapInArrow(_writer(fresh_path(spark, "warc")), "archive string"), "archives")
+    again = _revisits(p.select("page_id", "n", "digest"), shortest)
+    n = again.count()
+    # Only revisits have a row, and a row takes about 100 bytes; beyond the bound pages meet theirs by a shuffle.
+    both = p.join(F.broadcast(again) if n <= SENT_REVISITS else again, (p["page_id"] == again["again"]) & (p["digest"] == again["d"]), "left")
+    archives = written(both.select("page_id", "url", "html", F.col("first").alias("refers_to")).mapInArrow(_writer(fresh_path(spark, "warc")), "archive string"), "archives")
+    forget(again)
+    return archives
+
+
+def _revisits(ids: DataFrame, shortest: int) -> DataFrame:
+    """again, d, first: the page and digest of each revisit, and the page it refers to; written.
+
+    Only ids and digests are shuffled. A digest that more than one in OFTEN pages has is one of fewer than OFTEN, so these
+    are sent to all and their pages stay where they are; no other has more pages than that in its task."""
+    ids = written(ids.where(F.col("n") >= shortest).select("page_id", "digest"), "digests")
+    first = ids.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first is not null")
+    first = written(first.select(F.col("digest").alias("d"), "first", "copies"), "repeated")
+    hot = F.col("copies") > F.lit(ids.count() // OFTEN)
+    often, rarely = first.where(hot).drop("copies"), first.where(~hot).drop("copies")
+    mine = ids["digest"] == F.col("d")
+    found = ids.join(F.broadcast(often), mine).union(ids.join(rarely, mine))
+    again = written(found.where("page_id <> first").select(F.col("page_id").alias("again"), "d", "first").distinct(), "revisits")
+    forget(ids, first)
+    return again
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
