@@ -380,30 +380,100 @@ def hashed(images: list[tuple[Image, np.ndarray]]) -> str:
 
 
 _MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_THUMBNAIL = "id long, width long, height long, images long, thumbnail_hash string, thumbnail binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split(" ")[0] for c in schema.split(", ")]
+
+
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of payloads that take about TOGETHER rows; a longer one is a range of its own."""
+    i = 0
+    while i < len(sizes):
+        j, n = i, 0
+        while j < len(sizes) and (j == i or n + sizes[j] <= TOGETHER * ACROSS):
+            n += sizes[j] + ACROSS
+            j += 1
+        yield i, j
+        i = j
+
+
+def _stored_one(text: bytes) -> Iterator[tuple[bytes, list[tuple[Image, np.ndarray]]]]:
+    """A long payload image by image, each written and read back."""
+    for at in range(0, len(text), ROWS * ACROSS):
+        (file,) = encoded([padded(text[at : at + ROWS * ACROSS])])
+        yield file, thumbnails([file])[0]
+
+
+def _told(text: bytes, files: list[bytes], images: list[tuple[Image, np.ndarray]]) -> tuple:
+    payload, media, n = hashlib.sha256(), hashlib.sha256(), 0
+    for _, t in images:
+        payload.update(t.tobytes())
+        n += t.size
+    for f in files:
+        media.update(f)
+    return len(text), n, payload.hexdigest(), zlib.crc32(images[-1][1][-1].tobytes()), sum(map(len, files)), media.hexdigest(), hashed(images)
 
 
 def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split(" ")[0] for c in _MEDIA.split(", ")]
     for b in batches:
         texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-        i = 0
-        while i < len(texts):
-            j, n = i, 0
-            while j < len(texts) and (j == i or n + len(texts[j]) <= TOGETHER * ACROSS):
-                n += len(texts[j]) + ACROSS
-                j += 1
-            files = encoded([padded(t) for t in texts[i:j]])
-            read = thumbnails(files)
-            back = [b"".join(t.tobytes() for _, t in images) for images in read]
-            rows = [
-                (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-ACROSS:]), len(f), hashlib.sha256(f).hexdigest(), hashed(images))
-                for t, p, f, images in zip(texts[i:j], back, files, read, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, zip(*rows, strict=True))], names)
-            i = j
+        for i, j in _groups([len(t) for t in texts]):
+            if j - i == 1 and len(texts[i]) > TOGETHER * ACROSS:
+                files, images = map(list, zip(*_stored_one(texts[i]), strict=True))
+                rows = [_told(texts[i], files, [x for one in images for x in one])]
+            else:
+                files = encoded([padded(t) for t in texts[i:j]])
+                rows = [_told(t, [f], images) for t, f, images in zip(texts[i:j], files, thumbnails(files), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, zip(*rows, strict=True))], _names(_MEDIA))
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """Every text as images and back: sizes and digests of payload and media, and the thumbnail's hashes."""
+    """Every text as images and back: sizes and digests of payload and media, and the thumbnail's hashes.
+
+    What ``stored`` and ``thumbnailed`` do, one after the other, without the images leaving the worker."""
     bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_carried, _MEDIA)
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+        for i, j in _groups([len(t) for t in texts]):
+            if j - i == 1 and len(texts[i]) > TOGETHER * ACROSS:
+                files = [b"".join(f for f, _ in _stored_one(texts[i]))]
+            else:
+                files = encoded([padded(t) for t in texts[i:j]])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(files, pa.binary())], ["doc_id", "media"])
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, media: each text as baseline JPEG, several images one after the other if it is long."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_stored, "doc_id long, media binary")
+
+
+def _thumbnailed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        files = b.column(1).to_pylist()
+        for i, j in _groups([len(f or b"") for f in files]):
+            own = [f for f in files[i:j] if f is not None]
+            found = iter(thumbnails(own))
+            rows = []
+            for f in files[i:j]:
+                if f is None:
+                    rows.append((None,) * 5)
+                    continue
+                images = next(found)
+                rows.append((images[0][0].width, sum(x.height for x, _ in images), len(images), hashed(images), b"".join(t.tobytes() for _, t in images)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], _names(_THUMBNAIL))
+
+
+def thumbnailed(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
+    """id, width, height, images, thumbnail_hash, thumbnail (DC luminance, row by row) of a column of baseline JPEG files.
+
+    A file may hold several images one after the other; height is that of all. Null gives nulls; anything else raises JpegError."""
+    bound_batches(media.sparkSession)
+    return media.select(F.col(key).cast("long").alias("id"), F.col(column).cast("binary").alias("media")).mapInArrow(_thumbnailed, _THUMBNAIL)
