@@ -33,8 +33,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: Words of a block, whatever the size of the input.
 BLOCK = 64
-#: Documents of a group to aim at, slots of a group, positions that a row makes, and slots that a task makes.
-DOCUMENTS, GROUP, RUN, TASK = 4096, 1 << 16, 1 << 16, 1 << 22
+#: Documents of a group to aim at, slots of a group, positions that a row makes, slots that a task makes, and sources of a range.
+DOCUMENTS, GROUP, RUN, TASK, RANGE = 4096, 1 << 16, 1 << 16, 1 << 22, 100_000
 #: 2^k of positions at most, so that products stay below 2^63: 140 trillion words.
 MOST_BITS = 41
 
@@ -53,14 +53,17 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def _running(df: DataFrame, order: Column, value: Column, name: str) -> DataFrame:
     """df, written, with the sum of value over all rows before: within ranges of the order, and over the ranges' sums."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(df.select("*", value.alias("value")).repartitionByRange(parts, order).withColumn("range", F.spark_partition_id()), "ranges")
+    rows = written(df.select("*", value.alias("value")), "rows")
+    ranges = -(-rows.count() // RANGE) or 1
+    if ranges == 1:
+        return rows.select(*df.columns, F.coalesce(F.sum("value").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long").alias(name))
+    dealt = written(rows.repartitionByRange(ranges, order).withColumn("range", F.spark_partition_id()), "ranges")
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     sums = dealt.groupBy("range").agg(F.sum("value").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inner = F.coalesce(F.sum("value").over(W.partitionBy("range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # A row for each range, of which there are as many as partitions.
     out = written(dealt.withColumn("inner", inner).join(F.broadcast(sums), "range").select(*df.columns, (F.col("before") + F.col("inner")).cast("long").alias(name)), "running")
-    forget(dealt)
+    forget(rows, dealt)
     return out
 
 

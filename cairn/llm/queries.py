@@ -91,6 +91,20 @@ d AS (SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target) AS
 SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE whole // source_size * size + greatest(0, least(size, whole % source_size - start)) END AS taken FROM d
 """
 
+#: All pairs of documents that share a shingle are counted, so this is for small tables. A document is a node, whatever rows it has.
+NEAR_DUP_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] for k in range(1, len(w) - 1)] END) AS shingle FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM p JOIN n m ON m.r = p.a JOIN n o ON o.r = p.b JOIN d x ON x.r = p.a JOIN d y ON y.r = p.b
+  WHERE 100 * common >= 85 * (m.n + o.n - common) AND x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT doc_id, doc_id FROM d WHERE doc_id IS NOT NULL),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, coalesce(d.doc_id = m.component_id, true) AS kept FROM d LEFT JOIN n USING (r) LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
@@ -101,4 +115,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL, "op4_source_mix": MIX_SQL, "op5_warc": WARC_SQL}
+    return {"op2_line_dedup": LINE_DEDUP_SQL, "op4_source_mix": MIX_SQL, "op5_warc": WARC_SQL, "op10_minhash_near_dedup": NEAR_DUP_SQL}

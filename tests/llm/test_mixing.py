@@ -118,7 +118,8 @@ def test_golden_steps_are_a_permutation(spark):
     assert r.slot * M._golden(M.MOST_BITS)[0] % (1 << M.MOST_BITS) == far
 
 
-def test_many_sources_in_several_ranges(spark):
+def test_many_sources_in_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE", 30)
     rows = [(k, "w " * (1 + k * k % 97), f"{k % 211:03d}") for k in range(800)]
     sizes = defaultdict(int)
     for _, t, s in rows:

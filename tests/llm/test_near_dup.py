@@ -241,3 +241,19 @@ def test_distance_counts_symbols(spark):
     df = spark.createDataFrame([(k, *row(a[k]), *row(b[k])) for k in range(400)], ", ".join(f"{c} long" for c in ["n", *cols]))
     got = {x.n for x in df.where(N._near(how)).collect()}
     assert got == set(np.flatnonzero((a != b).sum(1) <= how.errors).tolist()) and 0 < len(got) < 400
+
+
+def test_against_sql(spark, tmp_path):
+    import duckdb
+
+    from cairn.llm.queries import NEAR_DUP_SQL
+
+    r = random.Random(4)
+    bases = [prose(r, r.randint(1, 60)) for _ in range(20)]
+    rows = awkward() + [(100 + r.randrange(70), edited(r, r.choice(bases), r.randint(0, 2))) for _ in range(90)]
+    documents(spark, rows).coalesce(1).write.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = c.execute(NEAR_DUP_SQL).fetchall()
+    assert all(k == (i is None or i == m) for i, _, m, k in got)
+    assert sorted(((i, n, m) for i, n, m, _ in got), key=repr) == brute(rows, N.QUERY)
