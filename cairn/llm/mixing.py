@@ -125,7 +125,8 @@ def schedule(per_source: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = dealt.withColumn("slot", _times(F.col("x"), _golden(bits)[1], bits)).withColumn("g", F.floor(F.col("slot") / GROUP))
     before = dealt.groupBy("r", "g").agg(F.count(F.lit(1)).alias("n"))
     before = before.select("r", "g", F.coalesce(F.sum("n").over(W.partitionBy("r").orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = dealt.withColumn("k", F.row_number().over(W.partitionBy("r", "g").orderBy("slot")) - 1).join(before, ["r", "g"])
+    # Rows that a sequence makes aren't in Spark's estimates: without the hints it would take them for few and send them to all.
+    ranked = dealt.withColumn("k", F.row_number().over(W.partitionBy("r", "g").orderBy("slot")) - 1).join(before.hint("merge"), ["r", "g"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("k"))
     last = F.when((F.col("rank") == F.col("need") - 1) & (F.col("left") % block > 0), F.col("left") % block)
     return ranked.select("slot", "r", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.coalesce(last, F.lit(block)).alias("words"))
@@ -158,8 +159,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     spread = laid.where("size > 0").select("row", "r", "start", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))).alias("block"))
     first, last = F.greatest(F.col("start") - F.col("block") * block, F.lit(0)), F.least(F.col("end") - F.col("block") * block, F.lit(block))
     rest = F.greatest(F.least(last, F.col("rest")) - first, F.lit(0))
-    taken = spread.join(times, ["r", "block"]).groupBy("row").agg(F.sum((last - first) * F.col("times") + rest).alias("taken"))
-    return laid.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "th")
+    taken = spread.join(times.hint("merge"), ["r", "block"]).groupBy("row").agg(F.sum((last - first) * F.col("times") + rest).alias("taken"))
+    return laid.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "th")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -149,3 +149,8 @@ def test_documents_of_the_mix(spark):
     for r in M.mixed(docs).collect():
         taken[r.doc_id] += r.taken
     assert all(abs(words[i] - taken[i]) <= (1 if i == 1 else 0) for i in taken if i is not None)
+
+
+def test_slots_and_blocks_are_not_sent_to_all(spark):
+    plan = M.mixed(documents(spark, corpus()))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
