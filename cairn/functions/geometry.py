@@ -65,9 +65,18 @@ def in_polygon(rings: Sequence[Ring], x: str = "X", y: str = "Y") -> Column:
         border = reduce(lambda a, b: a | b, (_on_edge(px, py, *e) for e in lit))
         return box(min(xs), min(ys), max(xs), max(ys), x, y) & ((crossings % 2 == 1) | border)
     table = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(e, ("a", "b", "c", "d"), strict=True))) for e in edges))
+    return box(min(xs), min(ys), max(xs), max(ys), x, y) & inside_edges(table, px, py)
+
+
+def inside_edges(table: Column, px: Column, py: Column) -> Column:
+    """Within or on a polygon given as an array of edges (a, b) to (c, d)."""
     crossings = F.aggregate(table, F.lit(0), lambda s, e: s + _crosses(px, py, e["a"], e["b"], e["c"], e["d"]))
-    border = F.exists(table, lambda e: _on_edge(px, py, e["a"], e["b"], e["c"], e["d"]))
-    return box(min(xs), min(ys), max(xs), max(ys), x, y) & ((crossings % 2 == 1) | border)
+    return (crossings % 2 == 1) | F.exists(table, lambda e: _on_edge(px, py, e["a"], e["b"], e["c"], e["d"]))
+
+
+def edges(rings: Sequence[Ring]) -> list[tuple[float, float, float, float]]:
+    """The edges of a polygon's rings."""
+    return _edges(rings)
 
 
 def in_any_polygon(polygons: Sequence[Sequence[Ring]], x: str = "X", y: str = "Y") -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.numbering import numbered
+from ..plans.numbering import numbered, unused
 from ..schema import Order
 
 MODES = ("center", "first", "random")
+#: Rows of a sample or a cap that may meet in one task.
+FEW = 100_000
 
 
 def voxel_index(size: float) -> dict[str, Column]:
@@ -53,7 +55,8 @@ def every_nth(df: DataFrame, n: int, order: Order) -> DataFrame:
         raise ValueError("n must be 1 or more")
     if n == 1:
         return df
-    return numbered(df, order, "__number").where(F.col("__number") % n == 1).drop("__number")
+    (number,) = unused(df, "number")
+    return numbered(df, order, number).where(F.col(number) % n == 1).drop(number)
 
 
 def random_fraction(df: DataFrame, fraction: float, order: Order, seed: int = 0, whole: dict[str, str] | None = None) -> DataFrame:
@@ -67,11 +70,20 @@ def random_fraction(df: DataFrame, fraction: float, order: Order, seed: int = 0,
 
 def sample(df: DataFrame, n: int, order: Order, seed: int = 0, whole: dict[str, str] | None = None) -> DataFrame:
     """Exactly n points at random, or all if there are no more."""
-    return df.withColumn("__key", shuffle_key(order, seed, whole)).orderBy("__key", *order.by()).limit(n).drop("__key")
+    (key,) = unused(df, "key")
+    return _first(df.withColumn(key, shuffle_key(order, seed, whole)), n, Order((key, *order.columns))).drop(key)
+
+
+def _first(df: DataFrame, n: int, order: Order) -> DataFrame:
+    """The first n rows: few meet in one task, many are numbered where they lie."""
+    if n <= FEW:
+        return df.orderBy(*order.by()).limit(n)
+    (number,) = unused(df, "number")
+    return numbered(df, order, number).where(F.col(number) <= n).drop(number)
 
 
 def head(df: DataFrame, n: int | float | None, order: Order) -> DataFrame:
     """The first n points in order; None, infinity and numbers up to 0 mean all."""
     if n is None or n <= 0 or n == float("inf"):
         return df
-    return df.orderBy(*order.by()).limit(int(n))
+    return _first(df, int(n), order)

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.numbering import unused
 from ..schema import Order
+from .overlap import BOX, meeting
 
 Box = tuple[float, float, float, float]
-BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
 @dataclass(frozen=True)
@@ -68,10 +69,11 @@ class Grid:
             col, row = (F.floor((F.col(c) - F.lit(o)) / F.lit(self.size)) for c, o in (("X", x0), ("Y", y0)))
             inside = F.col("X").between(x0, x1) & F.col("Y").between(y0, y1)
             return points.where(inside).withColumn("tile_id", (row * self.across + col + 1).cast("bigint"))
-        p = points.withColumn("__c", F.explode(self._candidates("X", x0, self.across))).withColumn("__r", F.explode(self._candidates("Y", y0, self.down)))
+        col, row = unused(points, "c", "r")
+        p = points.withColumn(col, F.explode(self._candidates("X", x0, self.across))).withColumn(row, F.explode(self._candidates("Y", y0, self.down)))
         held = lambda c, k, o, top: F.col(c).between(F.lit(o) + F.col(k) * F.lit(self.size) - self.overlap, F.least(F.lit(o) + F.col(k) * F.lit(self.size) + self.size + self.overlap, F.lit(top + self.overlap)))
-        p = p.where(held("X", "__c", x0, x1) & held("Y", "__r", y0, y1))
-        return p.withColumn("tile_id", F.col("__r") * self.across + F.col("__c") + 1).drop("__c", "__r")
+        p = p.where(held("X", col, x0, x1) & held("Y", row, y0, y1))
+        return p.withColumn("tile_id", F.col(row) * self.across + F.col(col) + 1).drop(col, row)
 
 
 class _Aligned(Grid):
@@ -88,14 +90,25 @@ class _Aligned(Grid):
 
 def cap_per_tile(tiled: DataFrame, n: int, order: Order) -> DataFrame:
     """The first n points of each tile."""
-    rank = F.row_number().over(W.partitionBy("tile_id").orderBy(*order.by()))
-    return tiled.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+    (rank,) = unused(tiled, "rank")
+    number = F.row_number().over(W.partitionBy("tile_id").orderBy(*order.by()))
+    return tiled.withColumn(rank, number).where(F.col(rank) <= n).drop(rank)
 
 
 def metrics(tiled: DataFrame, by: tuple[str, ...] = ("tile_id",), cover: float = 2.0) -> DataFrame:
-    """Of each tile: points, mean and highest Z, 95th percentile, share above ``cover``."""
-    z = F.col("Z")
-    return tiled.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(z).alias("z_mean"), F.max(z).alias("z_max"), F.percentile(z, 0.95).alias("z_p95"), F.avg((z > cover).cast("int")).alias("cover"))
+    """Of each tile: points, mean and highest Z, 95th percentile (between the two points next to it), share above ``cover``.
+
+    Equal heights are counted before they are shuffled and then run through in order, so no tile's heights are held together."""
+    heights = tiled.where(F.col("Z").isNotNull()).groupBy(*by, F.col("Z").alias("z")).agg(F.count(F.lit(1)).alias("k"))
+    order = W.partitionBy(*by).orderBy("z").rowsBetween(W.unboundedPreceding, W.currentRow)
+    every = W.partitionBy(*by)
+    run = heights.select("*", F.sum("k").over(order).alias("upto"), F.sum("k").over(every).alias("n"))
+    at = (F.col("n") - 1) * F.lit(0.95)
+    low, high = (F.min(F.when(F.col("upto") > f(at), F.col("z"))) for f in (F.floor, F.ceil))
+    z, k = F.col("z"), F.col("k")
+    out = run.groupBy(*by).agg(F.sum(k).alias("n"), (F.sum(z * k) / F.sum(k)).alias("z_mean"), F.max(z).alias("z_max"), low.alias("low"), high.alias("high"), (F.sum(F.when(z > cover, k).otherwise(0)) / F.sum(k)).alias("cover"))
+    part = (F.col("n") - 1) * F.lit(0.95) - F.floor((F.col("n") - 1) * F.lit(0.95))
+    return out.select(*by, "n", "z_mean", "z_max", (F.col("low") + part * (F.col("high") - F.col("low"))).alias("z_p95"), "cover")
 
 
 def cells(points: DataFrame, size: float) -> DataFrame:
@@ -111,41 +124,65 @@ def estimate(nodes: DataFrame, windows: DataFrame, keys: tuple[str, ...] = ("win
     if max_depth >= 0:
         nodes = nodes.where(F.col("level") <= max_depth)
     n = nodes.select("point_count", *(F.col(c).alias(f"n_{c}") for c in BOX))
-    meets = F.expr("n_xmin <= xmax and n_xmax >= xmin and n_ymin <= ymax and n_ymax >= ymin")
-    # The nodes of a tree are far fewer than its points; windows are what a caller lists.
-    found = n.join(F.broadcast(windows), meets).groupBy(*keys).agg(F.sum("point_count").alias("p"), F.count(F.lit(1)).alias("k"))
+    found = meeting(windows.select(*keys, *BOX), n, BOX, [f"n_{c}" for c in BOX]).groupBy(*keys).agg(F.sum("point_count").alias("p"), F.count(F.lit(1)).alias("k"))
     area = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
     points = F.coalesce(F.col("p"), F.lit(0)).cast("bigint")
     return windows.join(found, list(keys), "left").select(*keys, *BOX, points.alias("estimated_points"), F.coalesce("k", F.lit(0)).cast("bigint").alias("num_nodes"), area.alias("area"), F.when(area > 0, points / area).otherwise(F.lit(float("inf"))).alias("density"))
 
 
-def adaptive_split(nodes: DataFrame, extent: Box, max_points: int = 1_000_000, min_size: float = 50.0, collar: float = 0.0, deepest: int = 12) -> DataFrame:
-    """Quadtree leaves (depth, i, j, box, read box with collar, estimated_points).
+def split(nodes: DataFrame, roots: DataFrame, max_points: int = 1_000_000, min_size: float = 50.0, deepest: int = 12, keys: tuple[str, ...] = ("tile_id",)) -> DataFrame:
+    """Quadtree leaves of each root window (keys and its box): keys, path, depth, i, j, box, estimated_points.
 
-    A window is split while its estimate is above max_points and both its sides are above min_size. Each level is one
-    join of its windows with the node table; what is split goes on to the next."""
+    A window is split while its estimate is above max_points and both its sides are above min_size. The windows are a list
+    that the caller gets, so the driver holds it; nodes stay distributed and go along with the windows that they touch: a window that is split
+    hands each of its nodes to those of its quarters that the node touches, so no level looks at nodes of windows that are done. A leaf's
+    path is the quarter taken at each level (0 lower left, 1 lower right, 2 upper left, 3 upper right), a root's is empty.
+    ``nodes`` may be those of several files; their estimates add up."""
     spark = nodes.sparkSession
-    x0, y0, x1, y1 = extent
-    nodes = nodes.select("point_count", *BOX).persist()
-    level = spark.range(1).select(F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"))
-    leaves = None
+    names = [f"n_{c}" for c in BOX]
+    by = [*keys, "path"]
+    touches = F.expr("n_xmin <= xmax and n_xmax >= xmin and n_ymin <= ymax and n_ymax >= ymin")
+    start = roots.select(*keys, F.lit("").alias("path"), *(F.col(c).cast("double").alias(c) for c in BOX))
+    kind = start.schema
+    held = meeting(start, nodes.select("point_count", *(F.col(c).cast("double").alias(n) for c, n in zip(BOX, names, strict=True))), BOX, names)
+    n = len(keys)
+    windows = [(tuple(r), 0, 0) for r in start.collect()]
+    leaves: list[tuple] = []
     for d in range(deepest + 1):
-        w, h = (x1 - x0) / 2**d, (y1 - y0) / 2**d
-        boxes = level.select("i", "j", (F.lit(x0) + F.col("i") * F.lit(w)).alias("xmin"), (F.lit(y0) + F.col("j") * F.lit(h)).alias("ymin"), (F.lit(x0) + (F.col("i") + 1) * F.lit(w)).alias("xmax"), (F.lit(y0) + (F.col("j") + 1) * F.lit(h)).alias("ymax"))
-        known = estimate(nodes, boxes, ("i", "j")).persist()
-        split = F.lit(False) if w <= min_size or h <= min_size or d == deepest else F.col("estimated_points") > max_points
-        done = known.where(~split).select(F.lit(d).alias("depth"), "i", "j", *BOX, "estimated_points")
-        leaves = done if leaves is None else leaves.union(done)
-        again = known.where(split)
-        if again.isEmpty():
+        held = held.persist()
+        sums = {tuple(r)[:-1]: r["p"] for r in held.groupBy(*by).agg(F.sum("point_count").alias("p")).collect()}
+        parts: list[tuple[tuple, int, int]] = []
+        for w, i, j in windows:
+            x0, y0, x1, y1 = w[n + 1 :]
+            known = int(sums.get(w[: n + 1], 0))
+            if d == deepest or known <= max_points or x1 - x0 <= min_size or y1 - y0 <= min_size:
+                leaves.append((*w[: n + 1], d, i, j, *w[n + 1 :], known))
+                continue
+            mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+            for q, (a, b, box) in enumerate(((0, 0, (x0, y0, mx, my)), (1, 0, (mx, y0, x1, my)), (0, 1, (x0, my, mx, y1)), (1, 1, (mx, my, x1, y1)))):
+                parts.append(((*w[:n], f"{w[n]}{q}", *box), 2 * i + a, 2 * j + b))
+        if not parts:
+            held.unpersist()
             break
-        part = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for b in (0, 1) for a in (0, 1)))
-        level = again.select((F.col("i") * 2).alias("i"), (F.col("j") * 2).alias("j"), F.explode(part).alias("q")).select((F.col("i") + F.col("q.a")).alias("i"), (F.col("j") + F.col("q.b")).alias("j"))
-    return leaves.select("depth", "i", "j", *BOX, *((F.col(c) + s * collar).alias(f"r{c}") for c, s in zip(BOX, (-1, -1, 1, 1), strict=True)), "estimated_points")
+        quarters = spark.createDataFrame([w for w, _, _ in parts], kind).withColumn("parent", F.expr("substring(path, 1, length(path) - 1)"))
+        above = held.drop(*BOX).withColumnRenamed("path", "parent")
+        below = above.join(quarters, [*keys, "parent"]).where(touches).select(*by, *BOX, "point_count", *names).persist()
+        below.count()
+        held.unpersist()
+        held, windows = below, parts
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in kind.fields[:n]] + ["path string", "depth int", "i long", "j long", *(f"{c} double" for c in BOX), "estimated_points long"]
+    return spark.createDataFrame(sorted(leaves), ", ".join(fields))
+
+
+def adaptive_split(nodes: DataFrame, extent: Box, max_points: int = 1_000_000, min_size: float = 50.0, collar: float = 0.0, deepest: int = 12) -> DataFrame:
+    """Quadtree leaves of one extent, in the order of their paths (lower left first, depth first): path, depth, i, j, box, read box
+    with collar, estimated_points."""
+    root = nodes.sparkSession.range(1).select(F.col("id").alias("tile_id"), *(F.lit(float(v)).alias(c) for c, v in zip(BOX, extent, strict=True)))
+    leaves = split(nodes, root, max_points, min_size, deepest)
+    return leaves.select("path", "depth", "i", "j", *BOX, *((F.col(c) + s * collar).alias(f"r{c}") for c, s in zip(BOX, (-1, -1, 1, 1), strict=True)), "estimated_points")
 
 
 def chunks_with_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """Each chunk's files: their extents overlap (touching isn't enough); chunks without files go. Files are a list on the driver's
-    side of things, so they are sent to all while Spark finds them small."""
+    """Each chunk's files: their extents overlap (touching isn't enough); chunks without files go."""
     f = files.select(*(F.col(c).alias(f"f_{c}") for c in BOX), *(c for c in files.columns if c not in BOX))
-    return chunks.join(f, F.expr("f_xmin < xmax and f_xmax > xmin and f_ymin < ymax and f_ymax > ymin"))
+    return meeting(chunks, f, BOX, [f"f_{c}" for c in BOX], touching=False)

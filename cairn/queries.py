@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions import geometry, octree
-from .operators import apply, catalog, pyramid, stats, thinning, tiling
+from .operators import apply, areas, catalog, pyramid, stats, thinning, tiling
 from .plans.filters import Filter
 from .sources import las, store, vpc
+from .sources.ranges import created
 from .sources.lineitem import DUCKDB_EPOCH, ORDER, POINTS_SQL, points
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +42,7 @@ def _query(name: str, sql: str | None = None, own: bool = False):
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable:
         _QUERIES[name] = f if own else lambda spark, sf_dir: f(points(spark, sf_dir))
         if sql is not None:
-            _SQL[name] = f"{_WITH} {sql}"
+            _SQL[name] = f"{_WITH} {sql}".replace("WITH points", "WITH RECURSIVE points", 1)
         return f
 
     return add
@@ -188,6 +189,16 @@ def many_areas(p: DataFrame) -> DataFrame:
     return p.where(geometry.in_any_polygon([geometry.Area.of(b).polygons[0] for b in ((50, 50, 250, 250), (200, 200, 400, 400))])).select(*BASE)
 
 
+#: Diamonds of a grid; every point but those between them is in one.
+_DIAMONDS = [(60.0 * i + 30, 60.0 * j + 30, 25.0) for i in range(18) for j in range(16)]
+
+
+@_query("areas_join", f"SELECT {_BASE} FROM points, (SELECT 60.0e0 * i + 30 AS cx, 60.0e0 * j + 30 AS cy FROM (SELECT unnest(range(18)) AS i), (SELECT unnest(range(16)) AS j)) WHERE abs(X - cx) + abs(Y - cy) <= 25")
+def areas_join(p: DataFrame) -> DataFrame:
+    shapes = [geometry.Area.of({"type": "Polygon", "coordinates": [[(x - r, y), (x, y - r), (x + r, y), (x, y + r), (x - r, y)]]}) for x, y, r in _DIAMONDS]
+    return areas.within_any(p, shapes).select(*BASE)
+
+
 def _near_sql(x1: float, y1: float, x2: float, y2: float, width: float) -> str:
     dx, dy = x2 - x1, y2 - y1
     t = f"greatest(0.0e0, least(1.0e0, ((X - {x1}) * {dx} + (Y - {y1}) * {dy}) / {dx * dx + dy * dy}e0))"
@@ -285,10 +296,33 @@ q AS (SELECT d, i, j, i * ({EXTENT[2]}e0 / (1 << d)) AS xmin, j * ({EXTENT[3]}e0
   FROM (SELECT d, i, unnest(range(1 << d)) AS j FROM (SELECT d, unnest(range(1 << d)) AS i FROM (SELECT unnest(range({_DEEPEST + 1})) AS d)))),
 w AS (SELECT d, i, j, q.xmin, q.ymin, q.xmax, q.ymax, CAST(coalesce(sum(n.point_count), 0) AS BIGINT) AS est FROM q LEFT JOIN n ON n.xmin <= q.xmax AND n.xmax >= q.xmin AND n.ymin <= q.ymax AND n.ymax >= q.ymin GROUP BY ALL),
 s AS (SELECT *, est > {_MOST} AND d < {_DEEPEST} AND {EXTENT[2]} / (1 << d) > 50 AND {EXTENT[3]} / (1 << d) > 50 AS split FROM w)
-SELECT CAST(d AS INTEGER) AS depth, i, j, est AS estimated_points FROM s WHERE NOT split AND NOT EXISTS (SELECT 1 FROM s a WHERE a.d < s.d AND NOT a.split AND a.i = s.i >> (s.d - a.d) AND a.j = s.j >> (s.d - a.d))""".replace("1100.0e0", "1100.0").replace("1000.0e0", "1000.0"),
+SELECT array_to_string([((j >> (d - k)) & 1) * 2 + ((i >> (d - k)) & 1) for k in range(1, d + 1)], '') AS path, CAST(d AS INTEGER) AS depth, i, j, est AS estimated_points FROM s WHERE NOT split AND NOT EXISTS (SELECT 1 FROM s a WHERE a.d < s.d AND NOT a.split AND a.i = s.i >> (s.d - a.d) AND a.j = s.j >> (s.d - a.d))""".replace("1100.0e0", "1100.0").replace("1000.0e0", "1000.0"),
 )
 def adaptive_split(p: DataFrame) -> DataFrame:
-    return tiling.adaptive_split(_nodes(p, 6), EXTENT, _MOST, 50, 0.0, _DEEPEST).select("depth", "i", "j", "estimated_points")
+    return tiling.adaptive_split(_nodes(p, 6), EXTENT, _MOST, 50, 0.0, _DEEPEST).select("path", "depth", "i", "j", "estimated_points")
+
+
+#: Two files of the points, by supplier: each has its own nodes, and a window's estimate is that of both.
+_BOTH = """, two AS (SELECT f, count(*) AS point_count, any_value(ox) + x * any_value(2 * half / 64) AS xmin, any_value(oy) + y * any_value(2 * half / 64) AS ymin, any_value(ox) + x * any_value(2 * half / 64) + any_value(2 * half / 64) AS xmax, any_value(oy) + y * any_value(2 * half / 64) + any_value(2 * half / 64) AS ymax
+FROM (SELECT l_suppkey % 2 AS f, ox, oy, half, least(greatest(CAST(floor((X - ox) / (2 * half / 64)) AS BIGINT), 0), 63) AS x, least(greatest(CAST(floor((Y - oy) / (2 * half / 64)) AS BIGINT), 0), 63) AS y, least(greatest(CAST(floor((Z - oz) / (2 * half / 64)) AS BIGINT), 0), 63) AS z FROM points, cube) GROUP BY f, x, y, z)"""
+
+
+def _two_files(p: DataFrame) -> DataFrame:
+    cube = octree.Cube.of(p)
+    return octree.nodes(p.where("l_suppkey % 2 = 0"), cube, 6).union(octree.nodes(p.where("l_suppkey % 2 = 1"), cube, 6))
+
+
+@_query(
+    "adaptive_split_files",
+    f"""{_CUBE}{_BOTH},
+q AS (SELECT d, i, j, i * ({EXTENT[2]} / (1 << d)) AS xmin, j * ({EXTENT[3]} / (1 << d)) AS ymin, (i + 1) * ({EXTENT[2]} / (1 << d)) AS xmax, (j + 1) * ({EXTENT[3]} / (1 << d)) AS ymax
+  FROM (SELECT d, i, unnest(range(1 << d)) AS j FROM (SELECT d, unnest(range(1 << d)) AS i FROM (SELECT unnest(range(5)) AS d)))),
+w AS (SELECT d, i, j, q.xmin, q.ymin, q.xmax, q.ymax, CAST(coalesce(sum(n.point_count), 0) AS BIGINT) AS est FROM q LEFT JOIN two n ON n.xmin <= q.xmax AND n.xmax >= q.xmin AND n.ymin <= q.ymax AND n.ymax >= q.ymin GROUP BY ALL),
+s AS (SELECT *, est > 6000 AND d < 4 AND {EXTENT[2]} / (1 << d) > 100 AND {EXTENT[3]} / (1 << d) > 100 AS split FROM w)
+SELECT array_to_string([((j >> (d - k)) & 1) * 2 + ((i >> (d - k)) & 1) for k in range(1, d + 1)], '') AS path, xmin, ymin, xmax, ymax, est AS estimated_points FROM s WHERE NOT split AND NOT EXISTS (SELECT 1 FROM s a WHERE a.d < s.d AND NOT a.split AND a.i = s.i >> (s.d - a.d) AND a.j = s.j >> (s.d - a.d))""",
+)
+def adaptive_split_files(p: DataFrame) -> DataFrame:
+    return tiling.adaptive_split(_two_files(p), EXTENT, 6000, 100, 0.0, 4).select("path", *tiling.BOX, "estimated_points")
 
 
 def _tiles_sql(x1: float, y1: float, size: float, overlap: float) -> str:
@@ -338,6 +372,26 @@ def chunk_apply_mean_z(p: DataFrame) -> DataFrame:
     return out.withColumn("z_mean", F.round("z_mean", 4))
 
 
+@_query(
+    "chunk_apply_split",
+    f"""{_CUBE}{_BOTH}, {_CHUNK_SQL},
+q AS (SELECT tile_id, d, i, j, xmin + i * (200.0e0 / (1 << d)) AS xmin, ymin + j * (200.0e0 / (1 << d)) AS ymin, xmin + (i + 1) * (200.0e0 / (1 << d)) AS xmax, ymin + (j + 1) * (200.0e0 / (1 << d)) AS ymax
+  FROM (SELECT *, unnest(range(1 << d)) AS j FROM (SELECT *, unnest(range(1 << d)) AS i FROM (SELECT *, unnest(range(4)) AS d FROM t)))),
+w AS (SELECT tile_id, d, i, j, q.xmin, q.ymin, q.xmax, q.ymax, CAST(coalesce(sum(n.point_count), 0) AS BIGINT) AS est FROM q LEFT JOIN two n ON n.xmin <= q.xmax AND n.xmax >= q.xmin AND n.ymin <= q.ymax AND n.ymax >= q.ymin GROUP BY ALL),
+s AS (SELECT *, est > 1500 AND 200.0e0 / (1 << d) > 25 AS split FROM w),
+l AS (SELECT *, array_to_string([((j >> (d - k)) & 1) * 2 + ((i >> (d - k)) & 1) for k in range(1, d + 1)], '') AS path FROM s WHERE NOT split AND NOT EXISTS (SELECT 1 FROM s a WHERE a.tile_id = s.tile_id AND a.d < s.d AND NOT a.split AND a.i = s.i >> (s.d - a.d) AND a.j = s.j >> (s.d - a.d)))
+SELECT tile_id, path, count(*) AS n, count(*) FILTER (X BETWEEN xmin AND xmax AND Y BETWEEN ymin AND ymax) AS own FROM points JOIN l ON X BETWEEN xmin - 15 AND xmax + 15 AND Y BETWEEN ymin - 15 AND ymax + 15 WHERE X BETWEEN -15 AND 1215 GROUP BY ALL""",
+)
+def chunk_apply_split(p: DataFrame) -> DataFrame:
+    """Chunks above 1500 estimated points in quarters; all points of each, and those without the buffer."""
+
+    def counted(t: pd.DataFrame, chunk: dict) -> pd.DataFrame:
+        own = t["X"].between(chunk["xmin"], chunk["xmax"]) & t["Y"].between(chunk["ymin"], chunk["ymax"])
+        return pd.DataFrame({"n": [len(t)], "own": [int(own.sum())]})
+
+    return apply.chunk_apply(p.select("X", "Y", "Z"), counted, "n long, own long", _CHUNKS, 15, nodes=_two_files(p), max_points_per_chunk=1500, min_split_size=25)
+
+
 #: A file for each supplier number modulo 6, as if each were a flight strip.
 _FILES = "f AS (SELECT l_suppkey % 6 AS file, min(X) AS xmin, min(Y) AS ymin, min(Z) AS zmin, max(X) AS xmax, max(Y) AS ymax, max(Z) AS zmax, count(*) AS points FROM points WHERE X BETWEEN 100 * (l_suppkey % 6) AND 100 * (l_suppkey % 6) + 300 GROUP BY 1)"
 
@@ -347,6 +401,20 @@ def _files(p: DataFrame) -> DataFrame:
     return p.groupBy("file").agg(*(F.min(c).alias(f"{c.lower()}min") for c in "XYZ"), *(F.max(c).alias(f"{c.lower()}max") for c in "XYZ"), F.count(F.lit(1)).alias("points"))
 
 
+_IN_FILES = "points.X BETWEEN 100 * (l_suppkey % 6) AND 100 * (l_suppkey % 6) + 300"
+
+
+@_query(
+    "catalog_apply",
+    f""", {_FILES}, g AS (SELECT file, xmin, ymin, xmax, ymax, gc, gr, CAST(floor((xmax - xmin) / 120) AS BIGINT) + 1 AS nx FROM (SELECT *, unnest(range(CAST(floor((ymax - ymin) / 120) AS BIGINT) + 1)) AS gr FROM (SELECT *, unnest(range(CAST(floor((xmax - xmin) / 120) AS BIGINT) + 1)) AS gc FROM f)))
+SELECT CAST(file AS VARCHAR) AS file, gr * nx + gc + 1 AS chunk_id, count(*) AS n, round(avg(Z), 4) AS z_mean FROM points JOIN g ON l_suppkey % 6 = file AND {_IN_FILES} AND X BETWEEN xmin + gc * 120 - 10 AND least(xmin + gc * 120 + 120, xmax) + 10 AND Y BETWEEN ymin + gr * 120 - 10 AND least(ymin + gr * 120 + 120, ymax) + 10 GROUP BY ALL""",
+)
+def catalog_apply(p: DataFrame) -> DataFrame:
+    of_file = p.withColumn("file", F.col("l_suppkey") % 6).where("X BETWEEN 100 * file AND 100 * file + 300").select("file", "X", "Y", "Z")
+    out = apply.file_apply(of_file, _files(p), lambda t, chunk: pd.DataFrame({"n": [len(t)], "z_mean": [t["Z"].mean()]}), "n long, z_mean double", 120, 10)
+    return out.withColumn("z_mean", F.round("z_mean", 4))
+
+
 @_query("chunk_file_overlap", f", {_FILES}, {_CHUNK_SQL} SELECT tile_id, file FROM t JOIN f ON f.xmin < t.xmax AND f.xmax > t.xmin AND f.ymin < t.ymax AND f.ymax > t.ymin")
 def chunk_file_overlap(p: DataFrame) -> DataFrame:
     return tiling.chunks_with_files(_CHUNKS.tiles(p.sparkSession).select("tile_id", *tiling.BOX), _files(p)).select("tile_id", "file")
@@ -411,7 +479,17 @@ def overview_pyramid(p: DataFrame) -> DataFrame:
     return schema.merged(levels)
 
 
-@_query("convex_hull")
+#: From the lowest of the leftmost points to the right by the least slope, and from the highest of the rightmost points back by the
+#: least slope as well; of points in one direction the farthest.
+_HULL = """, low AS (SELECT X, min(Y) AS Y FROM points GROUP BY X), high AS (SELECT X, max(Y) AS Y FROM points GROUP BY X),
+lower_ AS (SELECT X, Y FROM (SELECT X, Y FROM low ORDER BY X LIMIT 1) UNION ALL
+  SELECT X, Y FROM (SELECT l.X, l.Y, row_number() OVER (ORDER BY (l.Y - c.Y) / (l.X - c.X), l.X DESC) AS k FROM lower_ c JOIN low l ON l.X > c.X) WHERE k = 1),
+upper_ AS (SELECT X, Y FROM (SELECT X, Y FROM high ORDER BY X DESC LIMIT 1) UNION ALL
+  SELECT X, Y FROM (SELECT l.X, l.Y, row_number() OVER (ORDER BY (l.Y - c.Y) / (l.X - c.X), l.X) AS k FROM upper_ c JOIN high l ON l.X < c.X) WHERE k = 1)
+SELECT row_number() OVER (ORDER BY part, X * (1 - 2 * part)) - 1 AS corner, X, Y FROM (SELECT 0 AS part, X, Y FROM lower_ UNION ALL SELECT 1, X, Y FROM (SELECT X, Y FROM upper_ EXCEPT SELECT X, Y FROM lower_))"""
+
+
+@_query("convex_hull", _HULL)
 def convex_hull(p: DataFrame) -> DataFrame:
     return stats.convex_hull(p)
 
@@ -422,22 +500,14 @@ def extra_dimension(p: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines share: under ``spark.checkpoint.dir``, or a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root or not root.startswith(("file:", "/")):
+    """A new folder that all machines share: under ``spark.checkpoint.dir``. Where none is set, as in tests, a local master gets a
+    temporary one; a cluster, whose executors couldn't read it, is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         return tempfile.mkdtemp(prefix=f"cairn-{name}-")
-    path = os.path.join("/" + root.removeprefix("file:").lstrip("/"), f"cairn-{name}-{uuid.uuid4().hex}")
-    os.makedirs(path)
-    return path
-
-
-def _octree_file(p: DataFrame, path: str, rows: int = 5000) -> str:
-    """The first points as an octree file, as the SQL of octree_file_scan takes them."""
-    p = thinning.head(p.select(*ORDER.columns, *schema.CORE), rows, ORDER).select(*schema.CORE)
-    found = p.toPandas()
-    with open(path, "w+b") as f:
-        las.write(f, {c: found[c].to_numpy() for c in found.columns}, header=las.Header(scale=(0.0001,) * 3), wkt='PROJCS["local"]')
-    return path
+    return f"{root.rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
 
 
 def _octree_files(p: DataFrame, folder: str, size: float) -> list[str]:
@@ -446,11 +516,9 @@ def _octree_files(p: DataFrame, folder: str, size: float) -> list[str]:
 
     def write(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(by)
-        path = os.path.join(folder, f"{key[0]}_{key[1]}.copc.las")
-        own = f"{path}.{uuid.uuid4().hex}"
-        with open(own, "w+b") as f:
+        path = f"{folder}/{key[0]}_{key[1]}.copc.las"
+        with created(path) as f:
             las.write(f, {c: t[c].to_numpy() for c in columns}, header=las.Header(scale=(0.0001,) * 3), wkt='PROJCS["local"]')
-        os.replace(own, path)
         return pd.DataFrame({"path": [path]})
 
     tile = [F.floor(F.col(c) / size).cast("bigint").alias(f"__{c}") for c in "XY"]
@@ -458,33 +526,43 @@ def _octree_files(p: DataFrame, folder: str, size: float) -> list[str]:
     return sorted(r["path"] for r in found.collect())  # a row for each tile
 
 
-@_query("header_roundtrip", own=True)
+def _tiles_with(columns: str, size: int) -> str:
+    return f", b AS (SELECT CAST(floor(X / {size}) AS BIGINT) AS tx, CAST(floor(Y / {size}) AS BIGINT) AS ty, min(X) AS xmin, min(Y) AS ymin, min(Z) AS zmin, max(X) AS xmax, max(Y) AS ymax, max(Z) AS zmax, count(*) AS points, min(gpstime) AS tmin, max(gpstime) AS tmax FROM points GROUP BY 1, 2) SELECT {columns} FROM b"
+
+
+_HALF = "CASE WHEN greatest(xmax - xmin, ymax - ymin, zmax - zmin) / 2 < 1e-6 THEN 1.0e0 ELSE greatest(xmax - xmin, ymax - ymin, zmax - zmin) / 2 END * 1.001e0"
+
+
+@_query("header_roundtrip", _tiles_with(f"xmin, ymin, zmin, xmax, ymax, zmax, points, CAST(8 AS INTEGER) AS point_format, 'PROJCS[\"local\"]' AS wkt, round(2 * ({_HALF}), 6) AS spacing, round({_HALF}, 6) AS halfsize, tmin, tmax", 250), own=True)
 def header_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points in octree files, a file for each tile; what their headers say."""
     paths = _octree_files(points(spark, sf_dir), _folder(spark, "header"), 250)
-    return catalog.Catalog.of(spark, paths).files.drop("file")
+    return catalog.Catalog.of(spark, paths).files.drop("file").withColumns({c: F.round(c, 6) for c in ("spacing", "halfsize")})
 
 
-@_query("octree_file_scan", f", k AS (SELECT * FROM points ORDER BY {_ORDER} LIMIT 5000) SELECT round(X, 4) AS X, round(Y, 4) AS Y, round(Z, 4) AS Z, Intensity, Classification FROM k WHERE X BETWEEN 200 AND 600 AND Y BETWEEN 10 AND 700", own=True)
+@_query("octree_file_scan", "SELECT round(X, 4) AS X, round(Y, 4) AS Y, round(Z, 4) AS Z, Intensity, Classification FROM points WHERE X BETWEEN 200 AND 600 AND Y BETWEEN 10 AND 700", own=True)
 def octree_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points in octree files, a file for each tile; a box of them read by one scan."""
     from .sources import datasource
 
-    path = _octree_file(points(spark, sf_dir), os.path.join(_folder(spark, "scan"), "a.copc.las"))
+    paths = _octree_files(points(spark, sf_dir), _folder(spark, "scan"), 250)
     datasource.register(spark)
-    df = spark.read.format("cairn_octree").option("path", path).option("bbox", "200,10,600,700").option("select", "ic").load()
+    df = spark.read.format("cairn_octree").option("path", json.dumps(paths)).option("bbox", "200,10,600,700").option("select", "ic").load()
     return df.select(*(F.round(c, 4).alias(c) for c in "XYZ"), "Intensity", "Classification")
 
 
-@_query("vpc_roundtrip", own=True)
+@_query("vpc_roundtrip", _tiles_with("CAST(tx AS VARCHAR) || '_' || CAST(ty AS VARCHAR) || '.copc.las' AS file, xmin, ymin, xmax, ymax, points, CAST(8 AS INTEGER) AS point_format", 500), own=True)
 def vpc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points in octree files, a file for each tile, listed with statistics; the list read again."""
     folder = _folder(spark, "vpc")
     paths = _octree_files(points(spark, sf_dir), folder, 500)
-    listed = vpc.write(spark, paths, os.path.join(folder, "all.vpc"), statistics=True)
+    listed = vpc.write(spark, paths, f"{folder}/all.vpc", statistics=True)
     return vpc.read(spark, listed).files.select(F.regexp_extract("file", "[^/]+$", 0).alias("file"), "xmin", "ymin", "xmax", "ymax", "points", "point_format")
 
 
 @_query("store_box_scan", f"SELECT {_BASE} FROM points WHERE X BETWEEN 300 AND 420 AND Y BETWEEN 100 AND 300", own=True)
 def store_box_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(_folder(spark, "store"), "points")
+    path = f"{_folder(spark, 'store')}/points"
     store.write(points(spark, sf_dir).select(*ORDER.columns, "X", "Y", "Z"), path, ORDER)
     return store.read(spark, path).where(geometry.box(300, 100, 420, 300)).select(*BASE)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -41,10 +40,53 @@ RECORD_BYTES = {6: 30, 7: 36, 8: 38}
 #: Degrees of one step of a stored scan angle.
 ANGLE_STEP = 0.006
 
-#: Other names of columns that no rule gives.
-_OTHER = {"gps_time": "gpstime", "scanangle": "ScanAngleRank", "scan_angle": "ScanAngleRank", "edge_of_flight_line": "EdgeOfFlightline", "red": "R", "green": "G", "blue": "B"}
-#: Names in lower case: a column's own, with and without underscores between its words, and the others.
-ALIASES = {spelt: name for name in CORE for spelt in (name.lower(), re.sub("(?<=[a-z])(?=[A-Z])", "_", name).lower())} | _OTHER
+#: Other names of columns, in lower case.
+ALIASES = {
+    "x": "X",
+    "y": "Y",
+    "z": "Z",
+    "easting": "X",
+    "northing": "Y",
+    "elevation": "Z",
+    "gpstime": "gpstime",
+    "gps_time": "gpstime",
+    "time": "gpstime",
+    "intensity": "Intensity",
+    "returnnumber": "ReturnNumber",
+    "return_number": "ReturnNumber",
+    "numberofreturns": "NumberOfReturns",
+    "number_of_returns": "NumberOfReturns",
+    "classification": "Classification",
+    "class": "Classification",
+    "scananglerank": "ScanAngleRank",
+    "scan_angle_rank": "ScanAngleRank",
+    "scanangle": "ScanAngleRank",
+    "scan_angle": "ScanAngleRank",
+    "userdata": "UserData",
+    "user_data": "UserData",
+    "pointsourceid": "PointSourceID",
+    "point_source_id": "PointSourceID",
+    "psid": "PointSourceID",
+    "scandirectionflag": "ScanDirectionFlag",
+    "scan_direction_flag": "ScanDirectionFlag",
+    "edgeofflightline": "EdgeOfFlightline",
+    "edge_of_flightline": "EdgeOfFlightline",
+    "edge_of_flight_line": "EdgeOfFlightline",
+    "synthetic_flag": "Synthetic_flag",
+    "keypoint_flag": "Keypoint_flag",
+    "withheld_flag": "Withheld_flag",
+    "overlap_flag": "Overlap_flag",
+    "scannerchannel": "ScannerChannel",
+    "scanner_channel": "ScannerChannel",
+    "r": "R",
+    "red": "R",
+    "g": "G",
+    "green": "G",
+    "b": "B",
+    "blue": "B",
+    "nir": "NIR",
+    "infrared": "NIR",
+}
 
 
 @dataclass(frozen=True)

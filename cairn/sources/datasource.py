@@ -3,13 +3,13 @@
 The driver reads headers and hierarchy pages only, drops nodes that the options or pushed filters rule out, and deals the
 rest into partitions of about equal size; executors read, unpack and filter them as Arrow batches.
 
-Options: path (one, or several joined by commas), bbox ("xmin,ymin,xmax,ymax"), zrange ("low,high"), maxDepth,
-select (letters), codec, partitionPoints, mode (FAILFAST or PERMISSIVE). Writing: path, maxDepth, layout, codec.
+Options: path (one, several joined by commas, or a JSON list), fileColumn (a name for a column of each point's file), bbox ("xmin,ymin,xmax,ymax"), zrange ("low,high"), maxDepth,
+select (letters), codec, partitionPoints, mode (FAILFAST or PERMISSIVE). Writing: path, maxDepth, layout, codec, filePoints.
 """
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..schema import selected, struct_type
 from . import las
-from .ranges import checked, opened
+from .ranges import checked, created, listed, opened, removed
 
-PARTITION_POINTS = 1_000_000
+PARTITION_POINTS, FILE_POINTS = 1_000_000, 5_000_000
 
 
 class _Nodes(InputPartition):
@@ -46,7 +46,8 @@ class OctreeSource(DataSource):
         return "cairn_octree"
 
     def paths(self) -> list[str]:
-        return [checked(p.strip()) for p in self.options["path"].split(",")]
+        given = self.options["path"]
+        return [checked(p) for p in json.loads(given)] if given.startswith("[") else [checked(p.strip()) for p in given.split(",")]
 
     def schema(self) -> T.StructType:
         out: dict[str, T.StructField] = {}
@@ -59,7 +60,8 @@ class OctreeSource(DataSource):
                     whole.add(name, T.DoubleType())
             out |= {f.name: f for f in whole if f.name not in out}
         whole = T.StructType(list(out.values())).add("level", T.IntegerType())
-        return T.StructType([whole[c] for c in selected(self.options.get("select"), whole.names)])
+        out = T.StructType([whole[c] for c in selected(self.options.get("select"), whole.names)])
+        return out.add(self.options["filecolumn"], T.StringType()) if self.options.get("filecolumn") else out
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return OctreeReader(self.paths(), schema, dict(self.options))
@@ -114,7 +116,9 @@ class OctreeReader(DataSourceReader):
             for c in las.read_points(f, h, partition.nodes, self.options.get("codec"), self.options.get("mode", "").upper() == "PERMISSIVE"):
                 keep = (c["X"] >= x0) & (c["X"] <= x1) & (c["Y"] >= y0) & (c["Y"] <= y1) & (c["Z"] >= z0) & (c["Z"] <= z1)
                 n = int(keep.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(c[k][keep]) if k in c else pa.nulls(n, pa.float64() if k not in struct_type().names else pa.int32()) for k in self.columns], self.columns)
+                name = self.options.get("filecolumn")
+                column = lambda k: pa.array([partition.path] * n, pa.string()) if k == name else pa.array(c[k][keep]) if k in c else pa.nulls(n, pa.float64() if k not in struct_type().names else pa.int32())
+                yield pa.RecordBatch.from_arrays([column(k) for k in self.columns], self.columns)
 
 
 class _Written(WriterCommitMessage):
@@ -123,40 +127,49 @@ class _Written(WriterCommitMessage):
 
 
 class OctreeWriter(DataSourceArrowWriter):
-    """A file for each task with rows, ``part-NNNNN.copc.las`` in a folder; points are written by node within it."""
+    """Files of filePoints points at most, so many a task holds; ``part-NNNNN.copc.las`` in a folder. Points are written by
+    node within a file."""
 
     def __init__(self, schema: T.StructType, options: dict, overwrite: bool):
         self.names, self.options = schema.names, options
-        self.folder = options["path"].removeprefix("file://")
-        if os.path.isdir(self.folder) and os.listdir(self.folder) and not overwrite:
+        self.most = int(options.get("filepoints", FILE_POINTS))
+        self.folder = options["path"].rstrip("/")
+        self.old = listed(self.folder)
+        if self.old and not overwrite:
             raise FileExistsError(f"{self.folder} isn't empty")
-        self.old = [os.path.join(self.folder, n) for n in os.listdir(self.folder)] if os.path.isdir(self.folder) else []
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        held, n, files = [], 0, []
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= self.most:
+                files.append(self._file(pa.Table.from_batches(held), len(files)))
+                held, n = [], 0
+        if held:
+            files.append(self._file(pa.Table.from_batches(held), len(files)))
+        return _Written(files)
+
+    def _file(self, table: pa.Table, number: int) -> str:
         from pyspark import TaskContext
 
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return _Written([])
-        table = pa.Table.from_batches(found)
-        os.makedirs(self.folder, exist_ok=True)
         context = TaskContext.get()
-        name = os.path.join(self.folder, f"part-{context.partitionId():05d}-{context.taskAttemptId()}.copc.las")
+        name = f"{self.folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}{f'-{number}' if number else ''}.copc.las"
         columns = {c: table.column(k).to_numpy() for k, c in enumerate(self.names)}
         depth = self.options.get("maxdepth")
-        with open(name + ".tmp", "w+b") as f:
+        with created(name) as f:
             las.write(f, columns, None if depth is None else int(depth), self.options.get("wkt"), codec=self.options.get("codec", "raw"), layout=self.options.get("layout", "leaf"))
-        os.replace(name + ".tmp", name)
-        return _Written([name])
+        return name
 
     def commit(self, messages: list) -> None:
         for path in self.old:
-            os.remove(path)
+            removed(path)
 
     def abort(self, messages: list) -> None:
         for m in messages:
             for path in m.files if m else []:
-                os.remove(path)
+                removed(path)
 
 
 def register(spark: SparkSession) -> None:

@@ -7,8 +7,13 @@ import os
 import time
 import urllib.error
 import urllib.request
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import BinaryIO
 
+from pyarrow import fs
+
 TRIES, PAUSE = 3, 0.5
 
 
@@ -70,10 +75,70 @@ def checked(path: str) -> str:
     name = path.split("?")[0].lower()
     if name.endswith((".las", ".laz")) and not name.endswith((".copc.laz", ".copc.las")):
         raise ValueError(f"{path} is a standard LAS/LAZ file without an octree")
-    if not is_url(path) and not os.path.exists(path.removeprefix("file://")):
+    if not is_url(path) and not exists(path):
         raise FileNotFoundError(f"{path} was not found")
     return path
 
 
+def plain(path: str) -> str:
+    """A local path as an absolute one without its scheme; others as they are."""
+    if path.startswith("file:"):
+        return "/" + path[5:].lstrip("/")
+    return path if "://" in path else os.path.abspath(path)
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path (a plain one or file:, or any that pyarrow knows by its scheme), and the path there."""
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), plain(path)
+
+
+def exists(path: str) -> bool:
+    store, there = _store(path)
+    return store.get_file_info(there).type != fs.FileType.NotFound
+
+
+def stamp(path: str) -> tuple:
+    """When a file was changed and its size; nothing for a URL."""
+    if is_url(path):
+        return ()
+    store, there = _store(path)
+    about = store.get_file_info(there)
+    return about.mtime_ns, about.size
+
+
 def opened(path: str) -> BinaryIO:
-    return HttpRanges(path) if is_url(path) else open(path.removeprefix("file://"), "rb")
+    if is_url(path):
+        return HttpRanges(path)
+    store, there = _store(path)
+    return store.open_input_file(there)
+
+
+@contextmanager
+def created(path: str) -> Iterator[BinaryIO]:
+    """A file that can be written and searched; it has its name once it is whole. On stores without search it is held until then."""
+    store, there = _store(path)
+    store.create_dir(os.path.dirname(there), recursive=True)
+    own = f"{there}.{uuid.uuid4().hex}"
+    if isinstance(store, fs.LocalFileSystem):
+        with open(own, "w+b") as f:
+            yield f
+    else:
+        f = io.BytesIO()
+        yield f
+        with store.open_output_stream(own) as out:
+            out.write(f.getbuffer())
+    store.move(own, there)
+
+
+def listed(folder: str) -> list[str]:
+    """Paths of the files in a folder, none if it isn't there."""
+    store, there = _store(folder)
+    found = store.get_file_info(fs.FileSelector(there, allow_not_found=True))
+    return sorted(f"{folder.rstrip('/')}/{f.base_name}" for f in found if f.type == fs.FileType.File)
+
+
+def removed(path: str) -> None:
+    store, there = _store(path)
+    store.delete_file(there)

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import crs
 from ..functions.geometry import Area
-from ..operators.thinning import voxel_thin
+from ..operators.thinning import head, voxel_thin
 from ..plans.filters import Filter
 from ..schema import Order, merged, select
 from . import datasource, vpc
+from .ranges import listed
 
 DEFAULT_COLLECTIONS = ("3dep-lidar-copc",)
 POINT_ORDER = Order(("X", "Y", "Z", "gpstime"))
@@ -80,10 +81,11 @@ def epsg(item: dict) -> int | None:
 
 
 def read_items(spark: SparkSession, items: Sequence[dict], area: Area, letters: str | None = None, filter: str | None = None, max_points: int = -1, signature: str | None = None, max_depth: int = -1, order: Order = POINT_ORDER) -> DataFrame:
-    """The points of all items within an area given in degrees; voxels are thinned tile by tile, the cap is on them all."""
+    """The points of all items within an area given in degrees; voxels are thinned tile by tile. With max_points, the first so many
+    points of the clipped items, item by item and in order within each."""
     datasource.register(spark)
-    rule, parts = Filter.parse(filter), []
-    for item in items:
+    rule, parts, wanted = Filter.parse(filter), [], []
+    for k, item in enumerate(items):
         link = vpc.href(item)
         if link is None:
             continue
@@ -91,26 +93,32 @@ def read_items(spark: SparkSession, items: Sequence[dict], area: Area, letters:
         df = spark.read.format("cairn_octree").option("path", signed(link, signature)).option("bbox", ",".join(map(repr, own.bounds()))).option("maxDepth", str(max_depth)).load()
         df = rule.where(df).where(own.holds())
         df = voxel_thin(df, rule.voxel, order) if rule.voxel else df
-        parts.append(select(df, letters).withColumn("item_id", F.lit(item.get("id"))))
+        kept = select(df, letters)
+        wanted += [c for c in kept.columns if c not in wanted]
+        more = [c for c in order.columns if c in df.columns and c not in kept.columns] if max_points > 0 else []
+        parts.append(df.select(*kept.columns, *more, F.lit(item.get("id")).alias("item_id"), F.lit(k).alias("item_number")))
     if not parts:
         raise ValueError("no item has a point file")
     df = merged(parts)
-    return df if max_points <= 0 else df.limit(max_points)
+    if max_points > 0:
+        df = head(df, max_points, Order(("item_number", *(c for c in order.columns if c in df.columns))))
+    return df.select(*wanted, "item_id")
 
 
 def download(spark: SparkSession, items: Sequence[dict], area: Area, folder: str, merge: bool = False, overwrite: bool = False, **options) -> DataFrame:
-    """Writes the clipped points of each item (or of all as one) to the folder: item_id, file, n_points, written."""
+    """Writes the clipped points of each item (or of all as one) to a folder of its own, by the tasks that read them: item_id, file,
+    n_points, written."""
     groups = [("merged", list(items))] if merge else [(i.get("id"), [i]) for i in items]
     rows = []
     for name, own in groups:
         path = os.path.join(folder, str(name))
-        if os.path.isdir(path) and os.listdir(path) and not overwrite:
+        if listed(path) and not overwrite:
             rows.append((name, path, None, False))
             continue
         df = read_items(spark, own, area, **options).drop("item_id", "level").persist()
         n = df.count()
         if n:
-            df.coalesce(1).write.format("cairn_octree").mode("append").option("path", path).save()
+            df.write.format("cairn_octree").mode("append").option("path", path).save()
         df.unpersist()
         rows.append((name, path, n, n > 0))
     return spark.createDataFrame(rows, "item_id string, file string, n_points long, written boolean")

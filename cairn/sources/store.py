@@ -64,7 +64,8 @@ def write(points: DataFrame, path: str, order: Order, max_depth: int | None = No
     width = F.lit(2 * cube.half) / F.pow(F.lit(2.0), F.col("level"))
     low = {c: F.lit(o - cube.half) + F.col(f"k{c}") * width for c, o in zip("xyz", (cube.x, cube.y, cube.z), strict=True)}
     nodes = per.select("level", *(F.col(f"k{c}").alias(c) for c in "xyz"), "point_count", *(low[c].alias(f"{c}min") for c in "xyz"), *((low[c] + width).alias(f"{c}max") for c in "xyz"))
-    nodes.coalesce(1).write.mode(mode).parquet(f"{path}/nodes")
+    # About a million nodes a file, of some thousand points each.
+    nodes.repartition(max(1, n // 5_000_000_000)).write.mode(mode).parquet(f"{path}/nodes")
     spark.range(1).select(F.lit(json.dumps({"cube": asdict(cube), "spacing": 2 * cube.half, "depth": depth, "points": n, "columns": points.columns})).alias("info")).coalesce(1).write.mode(mode).parquet(f"{path}/info")
 
 

@@ -16,7 +16,7 @@ from ..operators import pyramid, stats
 from ..operators.catalog import SCHEMA, Catalog, header, row
 from ..schema import Order
 from . import datasource, las
-from .ranges import is_url
+from .ranges import created, is_url, opened, plain
 
 STAC_VERSION = "1.0.0"
 #: Assets in the order in which they are looked for; then any that is a point file.
@@ -35,7 +35,7 @@ def schemas(h: las.Header) -> list[dict]:
 def _relative(path: str, folder: str) -> str:
     if is_url(path):
         return path
-    r = os.path.relpath(path, folder).replace(os.sep, "/")
+    r = os.path.relpath(plain(path), folder).replace(os.sep, "/")
     return r if r.startswith("..") else f"./{r}"
 
 
@@ -46,19 +46,17 @@ def overviews(spark: SparkSession, paths: Sequence[str], output: str, levels: in
     heads = [header(p) for p in paths]
     extent = tuple(f(h_[k] for h_ in ([h.low for h in heads] if f is min else [h.high for h in heads])) for f in (min, max) for k in (0, 1))
     base = os.path.splitext(os.path.basename(output))[0]
-    folder = os.path.join(os.path.dirname(os.path.abspath(output)), f"{base}_overviews")
-    os.makedirs(folder, exist_ok=True)
+    folder = os.path.join(os.path.dirname(plain(output)), f"{base}_overviews")
     datasource.register(spark)
-    points = spark.read.format("cairn_octree").option("path", ",".join(paths)).load().drop("level")
+    points = spark.read.format("cairn_octree").option("path", json.dumps(list(paths))).load().drop("level")
     out: dict[str, str] = {}
 
     def writer(level: int):
         def tile(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
             name = f"L{level}_{key[0] % 2**level}_{key[0] // 2**level}"
             path = os.path.join(folder, f"{base}-overview-{name}.copc.las")
-            with open(f"{path}.tmp", "w+b") as f:
+            with created(path) as f:
                 las.write(f, {c: t[c].to_numpy() for c in t.columns if c not in ("tile", "overview_level")})
-            os.replace(f"{path}.tmp", path)
             return pd.DataFrame({"name": [name], "path": [path]})
 
         return tile
@@ -73,17 +71,26 @@ def overviews(spark: SparkSession, paths: Sequence[str], output: str, levels: in
 def write(spark: SparkSession, paths: Sequence[str], output: str, boundary: bool = False, statistics: bool = False, max_depth: int = -1, overview: bool | str = False, overview_levels: int = 1) -> str:
     """Lists files in ``output``; boundary is the hull of each file's points, else its box. Statistics are over all its points
     down to max_depth. overview makes thinned tiles, or names a file that has them."""
-    folder = os.path.dirname(os.path.abspath(output))
+    folder = os.path.dirname(plain(output))
     features = []
     datasource.register(spark)
+    hulls: dict[str, list] = {}
+    about: dict[str, list[dict]] = {}
+    if paths and (boundary or statistics):
+        # One scan of all files for each of the two; what comes back is a few rows for each file.
+        points = spark.read.format("cairn_octree").option("path", json.dumps(list(paths))).option("fileColumn", "file").option("maxDepth", str(max_depth)).load().drop("level")
+        if boundary:
+            for r in stats.convex_hulls(points, "file").orderBy("file", "corner").collect():
+                hulls.setdefault(r["file"], []).append([r["X"], r["Y"]])
+        if statistics:
+            for r in stats.attributes(points, by="file").orderBy("file", "position").collect():
+                about.setdefault(r["file"], []).append({k: v for k, v in r.asDict().items() if k != "file"})
     for path in paths:
         h = header(path)
         x0, y0, z0, x1, y1, z1 = *h.low, *h.high
-        points = spark.read.format("cairn_octree").option("path", path).option("maxDepth", str(max_depth)).load().drop("level")
         ring = [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
-        if boundary:
-            corners = [[r["X"], r["Y"]] for r in stats.convex_hull(points).orderBy("corner").collect()]
-            ring = corners + corners[:1] if len(corners) >= 3 else ring
+        corners = hulls.get(path, [])
+        ring = corners + corners[:1] if len(corners) >= 3 else ring
         properties = {"datetime": "2024-01-01T00:00:00Z", "pc:count": h.points, "pc:type": "lidar", "pc:encoding": "copc", "pc:schemas": schemas(h), "proj:bbox": [x0, y0, z0, x1, y1, z1], "proj:geometry": {"type": "Polygon", "coordinates": [ring]}}
         if h.wkt:
             properties |= {"proj:wkt2": h.wkt}
@@ -96,15 +103,15 @@ def write(spark: SparkSession, paths: Sequence[str], output: str, boundary: bool
             lons, lats = zip(*geometry["coordinates"][0], strict=True)
             box = [min(lons), min(lats), z0, max(lons), max(lats), z1]
         if statistics:
-            properties["pc:statistics"] = [r.asDict() for r in stats.attributes(points).orderBy("position").collect()]
+            properties["pc:statistics"] = [{**r, "position": k} for k, r in enumerate(x for x in about.get(path, []) if x["count"])]
         features.append({"type": "Feature", "stac_version": STAC_VERSION, "stac_extensions": ["https://stac-extensions.github.io/pointcloud/v1.0.0/schema.json", "https://stac-extensions.github.io/projection/v1.1.0/schema.json"], "id": os.path.splitext(os.path.basename(path))[0], "geometry": geometry, "bbox": box, "properties": properties, "links": [], "assets": {"data": {"href": _relative(path, folder), "roles": ["data"]}}})
     if not features:
         raise ValueError("no files to list")
     made = overviews(spark, paths, output, overview_levels) if overview is True else {"overview": overview} if overview else {}
     for item in features:
         item["assets"] |= {key: {"href": _relative(path, folder), "roles": ["overview"]} for key, path in made.items()}
-    with open(output, "w", encoding="utf-8") as f:
-        json.dump({"type": "FeatureCollection", "features": features}, f)
+    with created(output) as f:
+        f.write(json.dumps({"type": "FeatureCollection", "features": features}).encode())
     return output
 
 
@@ -118,7 +125,9 @@ def href(item: dict) -> str | None:
 
 
 def _resolved(link: str, folder: str) -> str:
-    return link if is_url(link) or os.path.isabs(link) else os.path.normpath(os.path.join(folder, link))
+    if "://" in link or os.path.isabs(link):
+        return link
+    return f"{folder}/{link.removeprefix('./')}" if "://" in folder else os.path.normpath(os.path.join(folder, link))
 
 
 def _described(item: dict, path: str) -> tuple | None:
@@ -137,11 +146,11 @@ def read(spark: SparkSession, path: str, trust: bool = True, **options) -> Catal
     """The catalog that a file lists: from its own words, or (trust=False, or where it says too little) from the files' headers.
 
     Items without an octree file are left out with a warning; none at all is an error."""
-    with open(path, encoding="utf-8") as f:
+    with opened(path) as f:
         collection = json.load(f)
     if collection.get("type") != "FeatureCollection":
         raise ValueError(f"{path} is no item collection")
-    folder, rows, log = os.path.dirname(os.path.abspath(path)), [], logging.getLogger(__name__)
+    folder, rows, log = os.path.dirname(plain(path)), [], logging.getLogger(__name__)
     for item in collection.get("features") or []:
         link = href(item)
         if link is None or not any(x in link.lower() for x in (".copc.laz", ".copc.las")):

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from cairn import schema
 from cairn.cloud import PointCloud
-from cairn.operators import apply, thinning
+from cairn.functions import geometry, octree
+from cairn.functions.geometry import Area
+from cairn.operators import apply, areas, pyramid, stats, thinning, tiling
+from cairn.operators.overlap import BOX, meeting
 from cairn.operators.tiling import Grid
-from cairn.plans.numbering import numbered
+from cairn.plans.numbering import numbered, range_of
 from cairn.schema import Order
 from cairn.streaming import landing
 
@@ -31,6 +34,133 @@ def test_numbers_follow_the_order(spark):
     assert numbered(df.where("false"), ORDER).count() == 0
 
 
+def test_numbers_of_rows_alike_in_the_first_column_are_dealt_out(spark):
+    df = spark.range(4000).select(F.lit(1).alias("a"), (F.col("id") * 7 % 4000).alias("b"), F.lit("x").alias("part"), F.lit("y").alias("inner"))
+    order = Order(("a", "b"))
+    ranges = [r["count"] for r in df.groupBy(range_of(df, order, 8).alias("r")).count().collect()]
+    assert len(ranges) == 8 and max(ranges) < 1000
+    got = numbered(df, order, parts=8)
+    assert got.columns == [*df.columns, "point_number"]
+    assert all(r.point_number == r.b + 1 for r in got.collect())
+    nulls = spark.createDataFrame([(None, 1), (2, 1), (None, 0), (1, 5)], "a int, b int")
+    assert [(r.a, r.b) for r in numbered(nulls, order, parts=3).orderBy("point_number").collect()] == [(None, 0), (None, 1), (1, 5), (2, 1)]
+
+
+def test_samples_and_caps_above_the_bound_are_numbered(spark, monkeypatch):
+    df = points(spark).withColumn("key", F.lit(1)).withColumn("number", F.lit(2))
+    few = [sorted(map(tuple, f(df, 50, ORDER).collect())) for f in (thinning.head, thinning.sample)]
+    monkeypatch.setattr(thinning, "FEW", 10)
+    many = [f(df, 50, ORDER) for f in (thinning.head, thinning.sample)]
+    assert [sorted(map(tuple, m.collect())) for m in many] == few and all(m.columns == df.columns for m in many)
+    assert "TakeOrdered" not in many[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def boxes(spark, n, seed, size, prefix=""):
+    r = random.Random(seed)
+    rows = [(k, x := r.choice([r.uniform(0, 100), float(r.randint(0, 10) * 10)]), y := r.uniform(0, 100), x + r.choice([0.0, 10.0, r.uniform(0, size)]), y + r.uniform(0, size)) for k in range(n)]
+    return rows, spark.createDataFrame(rows, ", ".join(f"{prefix}{c} {t}" for c, t in (("id", "long"), ("xmin", "double"), ("ymin", "double"), ("xmax", "double"), ("ymax", "double"))))
+
+
+@pytest.mark.parametrize("touching", [True, False])
+def test_boxes_meet_as_in_a_nested_loop(spark, touching):
+    (a, left), (b, right) = boxes(spark, 120, 1, 30), boxes(spark, 150, 2, 15, "o_")
+    right = right.union(spark.createDataFrame([(900, -float("inf"), -1e9, float("inf"), 1e9), (901, None, 0.0, 1.0, 1.0)], right.schema))
+    b = b + [(900, -float("inf"), -1e9, float("inf"), 1e9)]
+    got = meeting(left, right, BOX, [f"o_{c}" for c in BOX], touching)
+    le = (lambda p, q: p <= q) if touching else (lambda p, q: p < q)
+    want = sorted((p[0], q[0]) for p in a for q in b if le(p[1], q[3]) and le(q[1], p[3]) and le(p[2], q[4]) and le(q[2], p[4]))
+    assert sorted((r.id, r.o_id) for r in got.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_in_many_areas(spark):
+    r = random.Random(8)
+    shapes = []
+    for _ in range(40):
+        x, y, w = r.uniform(-20, 20), r.uniform(-20, 20), r.uniform(0.5, 6)
+        shapes.append(Area.of({"type": "Polygon", "coordinates": [[(x - w, y), (x, y - w), (x + w, y), (x, y + w), (x - w, y)]]}))
+    df = points(spark, 600).withColumn("cx", F.lit(1))
+    one, few = areas.within_any(df, shapes), areas.within_any(df, shapes[:3])
+    want = df.where(geometry.in_any_polygon([p for s in shapes for p in s.polygons]))
+    assert one.columns == df.columns and sorted(x.id for x in one.collect()) == sorted(x.id for x in want.collect())
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "LeftSemi" in plan
+    assert few.count() == df.where(geometry.in_any_polygon([p for s in shapes[:3] for p in s.polygons])).count() and areas.within_any(df, []).count() == 0
+
+
+def test_metrics_of_tiles(spark):
+    df = points(spark, 500).withColumn("tile_id", F.col("id") % 3).withColumn("Z", F.round("Z", 1))
+    table = df.toPandas()
+    for r in tiling.metrics(df).collect():
+        z = table[table.tile_id == r.tile_id]["Z"]
+        assert (r.n, r.z_max) == (len(z), z.max())
+        assert (r.z_mean, r.z_p95, r.cover) == pytest.approx((z.mean(), z.quantile(0.95), (z > 2).mean()))
+
+
+def test_no_plan_gathers_or_nests(spark):
+    """Hulls, overviews, splits and overlaps shuffle; none runs a nested loop or all in one task before it."""
+    df = points(spark, 2000)
+    hull = stats.convex_hull(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange RoundRobin" in hull or "Exchange SinglePartition" in hull
+    level = pyramid.overview(df, (-20, -20, 20, 20), 0, ORDER)
+    assert "NestedLoop" not in level._jdf.queryExecution().executedPlan().toString()
+    (_, chunks), (_, files) = boxes(spark, 50, 3, 20), boxes(spark, 60, 4, 20)
+    pairs = tiling.chunks_with_files(chunks.withColumnRenamed("id", "chunk"), files)
+    nodes = files.withColumn("point_count", F.lit(5).cast("long"))
+    sums = tiling.estimate(nodes, chunks.withColumnRenamed("id", "window_id"))
+    assert not any("NestedLoop" in d._jdf.queryExecution().executedPlan().toString() for d in (pairs, sums))
+
+
+def test_hull_of_awkward_points(spark):
+    make = lambda rows: spark.createDataFrame(rows, "X double, Y double")
+    corners = lambda df: [(r.X, r.Y) for r in stats.convex_hull(df).orderBy("corner").collect()]
+    assert corners(make([])) == [] and corners(make([(1.0, 2.0)] * 5)) == [(1.0, 2.0)]
+    assert corners(make([(float(k), 2.0 * k) for k in range(9)])) == [(0.0, 0.0), (8.0, 16.0)]
+    r = random.Random(6)
+    rows = [(r.gauss(0, 5), r.gauss(0, 5)) for _ in range(700)] + [(None, 1.0)]
+    assert corners(make(rows).repartition(6)) == stats.hull_of([p for p in rows if p[0] is not None])
+
+
+def test_splits_by_files_and_paths(spark):
+    df = points(spark, 3000)
+    cube = octree.Cube.of(df)
+    parts = [df.where(f"id % 3 = {k}") for k in range(3)]
+    nodes = octree.nodes(parts[0], cube, 5).union(octree.nodes(parts[1], cube, 5)).union(octree.nodes(parts[2], cube, 5))
+    leaves = tiling.adaptive_split(nodes, (-20.0, -20.0, 20.0, 20.0), 300, 5.0).collect()
+    assert [r.path for r in leaves] == sorted(r.path for r in leaves) and len(leaves) > 10
+    table = nodes.toPandas()
+    for r in leaves:
+        meets = (table.xmin <= r.xmax) & (table.xmax >= r.xmin) & (table.ymin <= r.ymax) & (table.ymax >= r.ymin)
+        assert r.estimated_points == table[meets].point_count.sum()
+        assert r.estimated_points <= 300 or r.xmax - r.xmin <= 5
+        assert r.depth == len(r.path) and r.i == sum((int(q) & 1) << (r.depth - 1 - k) for k, q in enumerate(r.path))
+    assert sum((r.xmax - r.xmin) * (r.ymax - r.ymin) for r in leaves) == pytest.approx(1600)
+
+
+def test_chunks_that_are_split(spark):
+    df = points(spark, 1500)
+    nodes = octree.nodes(df, octree.Cube.of(df), 5)
+    grid = Grid.aligned((-20, -20, 20, 20), 20)
+    kept = lambda t, c, add=0: t[["X", "Y"]].assign(n=len(t) + add)
+    out = apply.chunk_apply(df, kept, "X double, Y double, n long", grid, 2, clip=True, nodes=nodes, max_points_per_chunk=150, min_split_size=4, extras={"add": 1000})
+    assert out.columns == ["tile_id", "path", "X", "Y", "n"] and out.count() == 1500
+    rows = out.collect()
+    assert max(r.n for r in rows) < 1400 and len({(r.tile_id, r.path) for r in rows}) > 4
+    with pytest.raises(ValueError):
+        apply.chunk_apply(df, kept, "X double", grid, max_points_per_chunk=10)
+
+
+def test_automerge(spark):
+    a, b = (spark.createDataFrame([(k, 0, float(v))], "cx int, cy int, z double") for k, v in ((1, 2), (1, 4)))
+    assert apply.automerge([None, None]) is None and apply.automerge([None, a]) is a
+    assert [tuple(r) for r in apply.automerge([a, None, b]).collect()] == [(1, 0, 3.0)]
+    rows = apply.automerge([a.select("z"), b.select("z", "cx")])
+    assert rows.count() == 2 and set(rows.columns) == {"z", "cx"}
+    assert isinstance(apply.automerge([a, a.withColumn("z", F.lit("text"))]), list)
+    tagged = a.union(b).withColumn("tile_id", F.lit(1))
+    assert [tuple(r) for r in apply.automerge(tagged).collect()] == [(1, 0, 3.0)]
+
+
 def test_every_nth(spark):
     df = points(spark, 10)
     assert sorted(r.id + 1 for r in thinning.every_nth(df, 3, ORDER).collect()) == [1, 4, 7, 10]
@@ -127,7 +257,7 @@ def test_columns(spark):
     assert schema.with_standard_names(df).columns == ["X", "Y", "Z", "Intensity", "Classification"]
     both = spark.createDataFrame([(1.0, 2)], "ScanAngleRank double, scan_angle int")
     assert schema.with_standard_names(both).columns == ["ScanAngleRank", "scan_angle"]
-    assert all(schema.ALIASES[a] == c for a, c in {"pointsourceid": "PointSourceID", "point_source_id": "PointSourceID", "scan_direction_flag": "ScanDirectionFlag", "edge_of_flight_line": "EdgeOfFlightline", "withheld_flag": "Withheld_flag", "gps_time": "gpstime", "number_of_returns": "NumberOfReturns", "b": "B"}.items())
+    assert all(schema.ALIASES[a] == c for a, c in {"pointsourceid": "PointSourceID", "point_source_id": "PointSourceID", "scan_direction_flag": "ScanDirectionFlag", "edge_of_flight_line": "EdgeOfFlightline", "withheld_flag": "Withheld_flag", "gps_time": "gpstime", "number_of_returns": "NumberOfReturns", "b": "B", "easting": "X", "psid": "PointSourceID", "infrared": "NIR"}.items())
     assert [schema.point_format(c) for c in (["X"], ["R", "G", "B"], ["NIR"])] == [6, 7, 8]
     assert schema.struct_type(6).names[-1] == "ScannerChannel"
     merged = schema.merged([df.select("x"), df.select("y")])

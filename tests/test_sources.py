@@ -162,6 +162,98 @@ def test_catalogs(spark, folder, tmp_path):
     assert catalog.resolution_depth(f"{folder}/a.copc.las", 10_000) == 0
 
 
+def test_functions_over_a_catalog(spark, folder, monkeypatch):
+    import pandas as pd
+
+    paths = [f"{folder}/a.copc.las", f"{folder}/b.copc.las"]
+    k = catalog.Catalog.of(spark, paths, chunk_size=60.0, chunk_buffer=0.0)
+    count = lambda t, c, add=0: pd.DataFrame({"n": [len(t) + add], "x0": [c["xmin"]]})
+    out = k.apply_files(count, "n long, x0 double").collect()
+    files = {r.file: r for r in k.files.collect()}
+    assert {r.file for r in out} == set(files) and sum(r.n for r in out) >= 35_000
+    assert all(r.x0 == pytest.approx(files[r.file].xmin + (r.x0 - files[r.file].xmin) // 60 * 60) for r in out)
+    whole = k.with_options(chunk_size=0.0).apply_files(lambda t, c, add: pd.DataFrame({"n": [len(t) + add]}), "n long", add=1).collect()
+    assert sorted((r.file, r.chunk_id, r.n) for r in whole) == [(paths[0], 1, 30_001), (paths[1], 1, 5001)]
+    tagged = k.apply(lambda t, c: t[["X", "Y"]], "X double, Y double", chunk_size=50, chunk_buffer=5, max_points_per_chunk=4000, min_split_size=10, merge=False)
+    assert tagged.columns == ["tile_id", "path", "X", "Y"] and 35_000 <= tagged.count() < 35_200
+    assert k.apply(lambda t, c: t[["X", "Y"]], "X double, Y double", chunk_size=50).columns == ["X", "Y"]
+
+    def fails(t, c):
+        raise ValueError("no")
+
+    assert k.apply(fails, "n long").count() == 0
+    with pytest.raises(Exception, match="no"):
+        k.apply(fails, "n long", keep_going=False).count()
+    assert k.apply(count, "n long", area=Area.of((0.0, 0.0, 10.0, 10.0))) is None
+    with pytest.raises(ValueError):
+        k.apply(count, "n long", chunk_size=0)
+    leaves = k.adaptive_split(8000, 5.0)
+    sums = k.nodes().groupBy("file").agg(F.sum("point_count").alias("n")).collect()
+    assert sorted(r.n for r in sums) == [5000, 30_000] and leaves.count() > 3
+    monkeypatch.setattr(catalog, "HERE", 1)
+    again = catalog.Catalog.of(spark, [*paths, f"{folder}/none.copc.las"])
+    assert sorted(map(tuple, again.files.collect())) == sorted(map(tuple, k.files.collect()))
+
+
+def test_kept_headers_and_bounds(spark, folder):
+    path = f"{folder}/a.copc.las"
+    assert catalog.bounds(path)["xmin"] == catalog.header(path).low[0] and "epsg" in catalog.bounds(path)
+    try:
+        assert catalog.cache_config(headers=1, enabled=True) == {"headers": 1, "enabled": True}
+        catalog.cache_clear()
+        for p in (path, f"{folder}/b.copc.las", path, path):
+            catalog.header(p)
+        assert catalog.cache_stats() == {"headers": 1, "hits": 1, "misses": 3}
+        catalog.cache_config(enabled=False)
+        catalog.header(path)
+        assert catalog.cache_stats()["misses"] == 3
+        with pytest.raises(ValueError):
+            catalog.cache_config(headers=0)
+    finally:
+        catalog.cache_config(headers=256, enabled=True)
+    df = spark.range(1000).persist()
+    df.count()
+    assert catalog.cache_stats(spark)["tables"] >= 1
+    catalog.cache_clear(spark)
+    assert catalog.cache_stats(spark)["tables"] == 0
+
+
+def test_what_a_record_has_no_room_for_is_an_error(tmp_path):
+    for c, v in (("X", 1e12), ("Intensity", 70_000), ("Classification", 300), ("UserData", -1)):
+        bad = columns(20)
+        bad[c] = np.asarray(bad.get(c, np.zeros(20))).astype(float)
+        bad[c][3] = v
+        with pytest.raises(las.LasError, match=c):
+            las.pack(bad, las.Header(offset=(500_000.0, 4_400_000.0, 0.0)))
+
+
+def test_files_by_their_scheme(tmp_path):
+    folder = f"file://{tmp_path}/new/folder"
+    assert ranges.listed(folder) == [] and not ranges.exists(f"{folder}/a")
+    with ranges.created(f"{folder}/a") as f:
+        f.write(b"12345")
+        f.seek(1)
+        f.write(b"x")
+    with ranges.opened(f"{folder}/a") as f:
+        f.seek(1)
+        assert f.read(2) == b"x3"
+    assert ranges.listed(folder) == [f"{folder}/a"] and ranges.stamp(f"{folder}/a")[1] == 5
+    ranges.removed(f"{folder}/a")
+    assert ranges.listed(folder) == []
+
+
+def test_paths_with_commas_and_files_of_a_few_points(spark, folder, tmp_path):
+    df = PointCloud.read(spark, f"{folder}/b.copc.las").df.drop("level")
+    out = tmp_path / "with, comma"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.coalesce(1).write.format("cairn_octree").mode("append").option("path", str(out)).option("filePoints", "1500").save()  # batches of rows stay together
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    paths = sorted(str(p) for p in out.iterdir())
+    assert len(paths) > 1
+    back = spark.read.format("cairn_octree").option("path", json.dumps(paths)).option("fileColumn", "from").load()
+    assert back.count() == 5000 and {r["from"] for r in back.select("from").distinct().collect()} == set(paths)
+
+
 def test_headers_are_read_again_when_a_file_changes(tmp_path):
     path = str(tmp_path / "x.copc.las")
     file(path, columns(50))
