@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_of, words_of
+from .common import text_of, words_of, written
 
 _NAME = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|credentials?|auth|bearer|private[ _-]?key)"
 #: What stands before a candidate and isn't part of it: a name and what assigns to it, or the user of a URL.
@@ -40,7 +40,7 @@ CANDIDATE = "|".join(
     (
         r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
         r"://[^\x00-\x20:/@]{0,64}:[^\x00-\x20/@]{3,}(?=@)",
-        _NAME + r"[A-Za-z0-9_]{0,20}[\"']?[ \t]{0,3}(?:=>|[=:])[ \t]{0,3}(?:\"[^\"\n]{4,200}\"|'[^'\n]{4,200}'|[^\x00-\x20\"']{4,})",
+        r"(?=[PpSsTtAaCcBb])" + _NAME + r"[A-Za-z0-9_]{0,20}[\"']?[ \t]{0,3}(?:=>|[=:])[ \t]{0,3}(?:\"[^\"\n]{4,200}\"|'[^'\n]{4,200}'|[^\x00-\x20\"']{4,})",
         r"(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]{4,}){1,2}",
         r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{12,}+(?:={1,2}(?![A-Za-z0-9]))?(?![\"']?[ \t]{0,3}(?:=>|[=:][ \t]{0,3}[\"'A-Za-z0-9]))",
     )
@@ -261,13 +261,12 @@ def default_findings(spark: SparkSession, each: int = 2400, seed: int = 11) -> D
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("r")).select("r.*")
 
 
-def corpus_findings(docs: DataFrame, path: str = "source", most: int = CORPUS_FINDINGS) -> DataFrame:
-    """At most ``most`` findings of each label among the candidates of docs, the first by a hash: candidate, before, after, path,
-    label.
+def corpus_findings(candidates: DataFrame, most: int = CORPUS_FINDINGS) -> DataFrame:
+    """At most ``most`` findings of each label among candidates, the first by a hash: candidate, before, after, path, label.
 
     By rule, a secret has the exact format of a service or is 20 characters or more of a random alphabet assigned to a name of
     KEY_WORDS, and is found in fewer than SHARED documents; what has neither is harmless."""
-    found = candidates(docs, path).where("candidate is not null")
+    found = candidates.where("candidate is not null")
     c = F.col("candidate")
     random_ = c.rlike("^(?=.*[0-9].*[0-9])(?:[0-9a-f]{20,}|[0-9A-F]{20,}|[0-9A-Za-z+/_]{20,})$") & ~F.lower(c).rlike(any_of(PLACEHOLDERS))
     likely = c.rlike(KNOWN) | random_ & F.col("before").rlike(KEY_WORDS + r"[\w]*[\"']?\s*[=:]\s*[\"']?$")
@@ -307,9 +306,9 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     return d.select("row", "doc_id", "path", own.alias("candidate"), F.right(F.concat("before", "prefix", quote), F.lit(NEAR)).alias("before"), "after", start.alias("start"))
 
 
-def findings(docs: DataFrame, forest: list[Node], words: tuple[str, ...] = PLACEHOLDERS, path: str = "source") -> DataFrame:
+def findings(candidates: DataFrame, forest: list[Node], words: tuple[str, ...] = PLACEHOLDERS) -> DataFrame:
     """row, doc_id, candidate, start, score (the mean over the trees) and kind; nulls where a row has none."""
-    found = candidates(docs, path).select("*", *(F.when(F.col("candidate").isNotNull(), s).alias(k) for k, s in statistics(words).items()))
+    found = candidates.select("*", *(F.when(F.col("candidate").isNotNull(), s).alias(k) for k, s in statistics(words).items()))
     votes = found.select("row", "doc_id", "candidate", "before", "start", *(t.column().alias(f"t{k}") for k, t in enumerate(forest)))
     score = sum((F.col(f"t{k}") for k in range(len(forest))), F.lit(0.0)) / len(forest) if forest else F.lit(1.0)
     kinds = (("aws", F.col("candidate").rlike("^AKIA[0-9A-Z]{16}$")), ("private-key", F.startswith("candidate", F.lit("-----BEGIN "))), ("service", F.col("candidate").rlike(KNOWN)), ("password", F.col("before").rlike(r"(?i)passw|passphrase|pwd|://")), ("token", F.col("before").rlike(KEY_WORDS)))
@@ -321,11 +320,13 @@ def scanned(docs: DataFrame, labelled: DataFrame | None = None, path: str = "sou
     """doc_id, n_candidates, n_secrets, kinds (sorted, comma-joined), secrets (distinct, sorted), score (highest, 0 without) of
     each row of docs."""
     words = dictionary(docs)
+    # Texts are searched once; labels and scores start from what was found.
+    found = written(candidates(docs, path).drop("start"), "candidates").withColumn("start", F.lit(None).cast("long"))
     if labelled is None:
-        labelled = default_findings(docs.sparkSession).drop("template").union(corpus_findings(docs, path))
+        labelled = default_findings(docs.sparkSession).drop("template").union(corpus_findings(found))
     forest = trained(labelled, words)
     secret = F.col("score") >= threshold
-    per_row = findings(docs, forest, words, path).groupBy("row", "doc_id").agg(
+    per_row = findings(found, forest, words).groupBy("row", "doc_id").agg(
         F.count("candidate").alias("n_candidates"),
         F.count_if(secret).alias("n_secrets"),
         F.array_join(F.array_sort(F.collect_set(F.when(secret, F.col("kind")))), ",").alias("kinds"),

@@ -125,7 +125,7 @@ def test_features_and_verdicts_against_brute_force(spark, forest):
     got = S.candidates(docs).where("candidate is not null").select("doc_id", "candidate", "before", "after", "start", "path", *(c.alias(k) for k, c in S.statistics().items())).collect()
     want = sorted((i, *c, path) for i, t, path in rows for c in plain_candidates(t))
     assert sorted((r.doc_id, r.candidate, r.before, r.after, r.start, r.path) for r in got) == want
-    scores = {(r.doc_id, r.candidate, r.start): r.score for r in S.findings(docs, forest).where("candidate is not null").collect() if r.doc_id < 101}
+    scores = {(r.doc_id, r.candidate, r.start): r.score for r in S.findings(S.candidates(docs), forest).where("candidate is not null").collect() if r.doc_id < 101}
     for r in got:
         plain = plain_statistics(r.candidate, r.before, r.after, r.path, S.PLACEHOLDERS)
         assert {k: r[k] for k in plain} == pytest.approx(plain), r
@@ -146,7 +146,7 @@ def test_dictionary_and_its_expression(spark):
 def test_findings_of_the_corpus(spark):
     sha = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
     rows = [(k, f'token = "{sha(k)}" and sha1 {sha(-k)}', "a") for k in range(100, 130)] + [(k, f'token = "{"ab12" * 10}"', "a") for k in range(30)]
-    got = S.corpus_findings(documents(spark, rows), most=10).collect()
+    got = S.corpus_findings(S.candidates(documents(spark, rows)), most=10).collect()
     assert sum(r.label for r in got) == 10 and len(got) == 20
     assert all(r.label == ("token" in r.before) for r in got) and not any(r.candidate.startswith("ab12") for r in got if r.label)
 
@@ -155,7 +155,7 @@ def test_columns_and_walk_say_the_same(spark, forest):
     docs = documents(spark, [(k, t) for k, (t, _) in TEXTS.items()])
     rows = S.candidates(docs).where("candidate is not null").select("candidate", *(c.alias(k) for k, c in S.statistics().items())).collect()
     walk = {r["candidate"]: round(sum(t.of(r.asDict()) for t in forest) / len(forest), 6) for r in rows}
-    got = {r.candidate: r.score for r in S.findings(docs, forest).where("candidate is not null").collect()}
+    got = {r.candidate: r.score for r in S.findings(S.candidates(docs), forest).where("candidate is not null").collect()}
     assert got.keys() == walk.keys() and all(got[k] == pytest.approx(walk[k], abs=2e-6) for k in walk)
 
 
