@@ -148,9 +148,12 @@ def split(nodes: DataFrame, roots: DataFrame, max_points: int = 1_000_000, min_s
     n = len(keys)
     windows = [(tuple(r), 0, 0) for r in start.collect()]
     leaves: list[tuple] = []
+    above = None
     for d in range(deepest + 1):
         held = held.persist()
         sums = {tuple(r)[:-1]: r["p"] for r in held.groupBy(*by).agg(F.sum("point_count").alias("p")).collect()}
+        if above is not None:  # held is worked out now
+            above.unpersist()
         parts: list[tuple[tuple, int, int]] = []
         for w, i, j in windows:
             x0, y0, x1, y1 = w[n + 1 :]
@@ -165,11 +168,9 @@ def split(nodes: DataFrame, roots: DataFrame, max_points: int = 1_000_000, min_s
             held.unpersist()
             break
         quarters = spark.createDataFrame([w for w, _, _ in parts], kind).withColumn("parent", F.expr("substring(path, 1, length(path) - 1)"))
-        above = held.drop(*BOX).withColumnRenamed("path", "parent")
-        below = above.join(quarters, [*keys, "parent"]).where(touches).select(*by, *BOX, "point_count", *names).persist()
-        below.count()
-        held.unpersist()
-        held, windows = below, parts
+        below = held.drop(*BOX).withColumnRenamed("path", "parent").join(quarters, [*keys, "parent"])
+        above, windows = held, parts
+        held = below.where(touches).select(*by, *BOX, "point_count", *names)
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in kind.fields[:n]] + ["path string", "depth int", "i long", "j long", *(f"{c} double" for c in BOX), "estimated_points long"]
     return spark.createDataFrame(sorted(leaves), ", ".join(fields))
 
