@@ -119,10 +119,11 @@ def test_sliced_arrays_and_pieces():
     assert list(T.pieces(np.array([0, 5, 5 + T.PIECE * 2, 6 + T.PIECE * 2]))) == [(0, 1), (1, 2), (2, 3)]
 
 
-@pytest.mark.parametrize("how", [N.QUERY, N.NearDup()])
-def test_awkward_rows(spark, how):
-    rows = awkward()
-    assert found(N.near_duplicates(documents(spark, rows, clashing=True), how)) == brute(rows, how)
+def test_awkward_rows(spark):
+    """Among them two long words that differ in their pattern alone."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    rows = awkward() + [(50, one), (51, one.translate(str.maketrans("ab", "ba")))]
+    assert found(N.near_duplicates(documents(spark, rows, clashing=True), N.QUERY)) == brute(rows, N.QUERY)
 
 
 def test_empty_table(spark):
@@ -133,7 +134,7 @@ def test_empty_table(spark):
 def test_groups_near_the_threshold_against_brute_force(spark):
     r = random.Random(3)
     rows, k = [], 0
-    for _ in range(12):
+    for _ in range(9):
         base = prose(r, r.randint(20, 150))
         for _ in range(r.randint(1, 14)):
             rows.append((k, edited(r, base, r.randint(0, 6)) if r.random() < 0.8 else base.upper()))
@@ -142,14 +143,6 @@ def test_groups_near_the_threshold_against_brute_force(spark):
     assert found(N.near_duplicates(documents(spark, rows), N.QUERY)) == brute(rows, N.QUERY)
 
 
-def test_one_large_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(N, "FEW", 0)  # more rounds of leaders before the rest is compared
-    r = random.Random(5)
-    base = prose(r, 60)
-    rows = [(k, edited(r, base, r.randint(0, 5))) for k in range(160)]
-    assert found(N.near_duplicates(documents(spark, rows), N.QUERY)) == brute(rows, N.QUERY)
-
-
 @pytest.mark.parametrize("how", [N.QUERY, N.NearDup()])
 def test_keys_meet_for_every_pair_within_the_threshold(how):
     r, keys = random.Random(1), how.left_out()
@@ -180,33 +173,22 @@ def test_one_of_each_keeps_all_columns(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 2, None]
 
 
-def test_patterns_of_letters_are_not_linked(spark):
-    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
-    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba")))]
-    assert [r.component_id for r in N.near_duplicates(documents(spark, rows), N.QUERY).orderBy("doc_id").collect()] == [1, 2]
-
-
-def test_repeated_rows_stay_once(spark):
-    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, "quite another text is here"), (3, "quite another text is here"), (3, "and one more of this number"), (4, ""), (4, ""), (None, "x y z"), (None, "x y z")]
-    docs = documents(spark, rows, clashing=True)
-    kept = N.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert_kept([(r.doc_id, r.text) for r in kept.collect()], rows, N.NearDup())
-
-
 def test_documents_with_several_texts_lose_none(spark):
-    """Rows linked on both sides of a document's texts, blank texts among them, four tables in one."""
+    """Rows linked on both sides of a document's texts, blank texts and repeated rows among them, five tables in one."""
     x, y, z = "one text about the first of these things", "quite another text that says something else", "and a third that no one has seen before"
     cases = [
         [(5, x), (5, y), (3, y), (9, x)],
         [(5, x), (5, y), (3, y), (9, x), (9, z), (2, z), (2, ""), (2, None), (7, ""), (None, x)],
         [(1, x), (1, y), (1, z), (1, ""), (2, x), (3, y), (4, z)],
         [(4, x), (4, x + " more"), (4, y), (1, y), (1, y)],
+        [(1, x), (1, x), (2, x.upper()), (3, y), (3, y), (3, z), (4, ""), (4, ""), (None, "x y z"), (None, "x y z")],
     ]
     rows = [(i if i is None else 100 * k + i, t and " ".join(f"{w}{k}" for w in t.split())) for k, case in enumerate(cases) for i, t in case]
     docs = documents(spark, rows, clashing=True)
+    kept = N.one_of_each(docs)
+    assert kept.columns == docs.columns
     assert found(N.near_duplicates(docs, N.QUERY)) == brute(rows, N.QUERY)
-    assert_kept([(r.doc_id, r.text) for r in N.one_of_each(docs).collect()], rows, N.NearDup())
+    assert_kept([(r.doc_id, r.text) for r in kept.collect()], rows, N.NearDup())
 
 
 def test_many_repeated_ids_against_brute_force(spark):
@@ -225,7 +207,7 @@ def test_large_buckets_in_parts(spark, monkeypatch):
     monkeypatch.setattr(N, "SENT_IDS", 0)
     r = random.Random(6)
     base = prose(r, 60)
-    rows = [(k, edited(r, base, r.randint(0, 6))) for k in range(90)] + [(200 + k, base) for k in range(40)]
+    rows = [(k, edited(r, base, r.randint(0, 6))) for k in range(70)] + [(200 + k, base) for k in range(20)]
     docs = documents(spark, rows)
     for few in (0, 500):
         monkeypatch.setattr(N, "FEW", few)
