@@ -10,11 +10,13 @@ import json
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import octree
 from ..functions.octree import Cube
 from ..operators.thinning import shuffle_key
+from ..plans.numbering import unused
 from ..schema import Order
 
 
@@ -33,20 +35,30 @@ def write(points: DataFrame, path: str, order: Order, max_depth: int | None = No
     layout "leaf": every point at the deepest level. "lod": at each level from the root on, the point of each cell that comes
     first by a hash is placed there, and what is left goes on; a point is at one level only."""
     spark = points.sparkSession
-    cube = Cube.of(points)
-    n = points.count()
+    hashed, least, key = unused(points, "h", "least", "z_order")
+    *box, n = points.agg(*(f(c) for f in (F.min, F.max) for c in "XYZ"), F.count(F.lit(1))).first()
+    if box[0] is None:
+        raise ValueError("0 points have no extent")
+    cube = Cube.around(tuple(box[:3]), tuple(box[3:]))
     depth = octree.depth_for(n) if max_depth is None else max_depth
     if layout == "lod":
-        keyed = points.withColumn("__h", shuffle_key(order, 0, whole))
-        # The level of a point is the first at whose cells it is the least by hash.
-        level = F.lit(depth)
-        from pyspark.sql import Window as W
 
-        for d in range(depth - 1, -1, -1):
+        def first(d: int):
             side = cube.half / 2**d / 64
             cell = [F.floor((F.col(c) - F.lit(o - cube.half)) / F.lit(side)) for c, o in zip("XYZ", (cube.x, cube.y, cube.z), strict=True)]
-            level = F.when(F.col("__h") == F.min("__h").over(W.partitionBy(*cell)), F.lit(d)).otherwise(level)
-        leveled = keyed.withColumn("level", level.cast("int")).drop("__h")
+            return F.col(hashed) == F.min(hashed).over(W.partitionBy(*cell))
+
+        leveled = points.withColumn(hashed, shuffle_key(order, 0, whole))
+        if depth > 0:
+            # Who is the least of a coarse cell is so of a finer one within it: after the finest, only those go on.
+            finest = leveled.withColumn(least, first(depth - 1))
+            top = finest.where(least).withColumn("level", F.lit(depth - 1))
+            for d in range(depth - 2, -1, -1):
+                top = top.withColumn("level", F.when(first(d), F.lit(d)).otherwise(F.col("level")))
+            leveled = finest.where(~F.col(least)).withColumn("level", F.lit(depth)).union(top).drop(least)
+        else:
+            leveled = leveled.withColumn("level", F.lit(0))
+        leveled = leveled.withColumn("level", F.col("level").cast("int")).drop(hashed)
     elif layout == "leaf":
         leveled = points.withColumn("level", F.lit(depth))
     else:
@@ -54,9 +66,9 @@ def write(points: DataFrame, path: str, order: Order, max_depth: int | None = No
     side = F.lit(2 * cube.half) / F.pow(F.lit(2.0), F.col("level"))
     top = F.pow(F.lit(2.0), F.col("level")).cast("bigint") - 1
     keys = {f"k{c.lower()}": F.least(F.greatest(F.floor((F.col(c) - F.lit(o - cube.half)) / side), F.lit(0).cast("bigint")), top) for c, o in zip("XYZ", (cube.x, cube.y, cube.z), strict=True)}
-    keyed = leveled.withColumns(keys).withColumn("__z", _interleaved(("kx", "ky", "kz"), max(depth, 1)))
+    keyed = leveled.withColumns(keys).withColumn(key, _interleaved(("kx", "ky", "kz"), max(depth, 1)))
     count = partitions or max(1, -(-n // 2_000_000))
-    laid = keyed.repartitionByRange(count, "level", "__z").sortWithinPartitions("level", "__z").drop("__z")
+    laid = keyed.repartitionByRange(count, "level", key).sortWithinPartitions("level", key).drop(key)
     mode = "overwrite" if overwrite else "errorifexists"
     laid.write.mode(mode).partitionBy("level").parquet(f"{path}/points")
     stored = spark.read.parquet(f"{path}/points")
