@@ -251,8 +251,11 @@ def _part(of: str, parts: Column) -> Column:
 def _linked(close: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
     """The links (a, b) among pairs, by the full sets; written. The pairs of one b are dealt into parts by their number, and its
     text goes to each part."""
-    parts = close.groupBy("b").agg(_parts(F.count(F.lit(1)), BLOCK).alias("parts"))
-    dealt = written(close.join(parts, "b").select("a", "b", _part("a", F.col("parts")).alias("part"), "parts"), "dealt")
+    many = written(close.groupBy("b").agg(_parts(F.count(F.lit(1)), BLOCK).alias("parts")).where("parts > 1"), "many")
+    # One in BLOCK pairs at most; beyond the bound by a shuffle.
+    known = close.join(F.broadcast(many) if many.count() <= SENT_IDS else many, "b", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = written(known.select("a", "b", _part("a", F.col("parts")).alias("part"), "parts"), "dealt")
+    forget(many)
     ours = dealt.select("a", "b", "part").join(texts.select(F.col("cid").alias("a"), F.col("t").alias("s")), "a")
     theirs = dealt.select("b", "parts").distinct().select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     theirs = theirs.join(texts.select(F.col("cid").alias("b"), "t"), "b")
