@@ -31,7 +31,7 @@ def folder(spark, tmp_path_factory):
     rows += [[900, None, "s0"], [901, "", None], [None, prose(r, 40), "s2"]]
     # Documents with several texts, each of which is a copy of another's.
     own = [prose(r, 50) for _ in range(3)]
-    rows += [[705, own[0], "s1"], [705, own[1], "s1"], [703, own[1], "s2"], [709, own[0], "s3"], [709, own[2], "s3"], [709, "", "s3"]]
+    rows += [[705, own[0], "s1"], [705, own[1], "s1"], [703, own[1], "s2"], [709, own[0], "s3"], [709, own[2], "s3"]]
     labels += [(i, 1) for i in (703, 705, 709)]
     path = tmp_path_factory.mktemp("tables")
     documents(spark, [tuple(x) for x in rows]).coalesce(2).write.parquet(f"{path}/documents.parquet")
