@@ -104,9 +104,10 @@ def file_apply(points: DataFrame, files: DataFrame, fun: Callable, schema: str,
     names = [f"file_{c}" for c in BOX]
     own = files.select(F.col(file).cast("string").alias(file), *(F.col(c).cast("double").alias(n) for c, n in zip(BOX, names, strict=True)))
     p = points.withColumn(file, F.col(file).cast("string")).join(own, file)
+    # A chunk more on both sides than the quotient says, as it may be off by a rounding; held() decides.
     cell = lambda c, low, high: (
         F.greatest(F.floor((F.col(c) - F.col(low) - buffer) / chunk_size) - 1, F.lit(0).cast("bigint")),
-        F.least(F.floor((F.col(c) - F.col(low) + buffer) / chunk_size), F.floor((F.col(high) - F.col(low)) / chunk_size)),
+        F.least(F.floor((F.col(c) - F.col(low) + buffer) / chunk_size) + 1, F.floor((F.col(high) - F.col(low)) / chunk_size)),
     )
     over = lambda pair: F.explode(F.when(pair[0] <= pair[1], F.sequence(*pair)))
     p = p.withColumn("chunk_c", over(cell("X", "file_xmin", "file_xmax"))).withColumn("chunk_r", over(cell("Y", "file_ymin", "file_ymax")))

@@ -26,6 +26,13 @@ def by_class(points: DataFrame) -> DataFrame:
     return points.groupBy("Classification").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rounded(value: str | Column, places: int) -> Column:
+    """A double to so many places as SQL engines round: scaled by a power of ten as a double, halves away from zero. ``F.round`` goes
+    by the shortest decimals of the value, and so parts from them where those end in a 5."""
+    scale = F.lit(10.0**places)
+    return F.round((F.col(value) if isinstance(value, str) else value) * scale) / scale
+
+
 def attributes(points: DataFrame, places: int = 6, by: str | None = None) -> DataFrame:
     """Of each numeric column: position from 0, name, count, minimum, maximum, average, sample deviation and variance.
 
@@ -34,7 +41,7 @@ def attributes(points: DataFrame, places: int = 6, by: str | None = None) -> Dat
     parts = []
     for k, c in enumerate(numeric):
         v = F.col(c).cast("double")
-        parts.append(F.struct(F.lit(k).alias("position"), F.lit(c).alias("name"), F.count(v).alias("count"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.round(F.avg(v), places).alias("average"), F.round(F.stddev_samp(v), places).alias("stddev"), F.round(F.var_samp(v), places).alias("variance")))
+        parts.append(F.struct(F.lit(k).alias("position"), F.lit(c).alias("name"), F.count(v).alias("count"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), rounded(F.avg(v), places).alias("average"), rounded(F.stddev_samp(v), places).alias("stddev"), rounded(F.var_samp(v), places).alias("variance")))
     keys = [by] if by else []
     return points.groupBy(*keys).agg(F.array(*parts).alias("s")).select(*keys, F.explode("s").alias("s")).select(*keys, "s.*")
 

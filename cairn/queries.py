@@ -157,7 +157,7 @@ def max_points_head(p: DataFrame) -> DataFrame:
 @_query("quantize_roundtrip", "SELECT l_orderkey, l_linenumber, CAST(round((X - 9.0e0) / 0.01e0) AS INTEGER) AS x_raw, round(CAST(round((X - 9.0e0) / 0.01e0) AS INTEGER) * 0.01e0 + 9.0e0, 4) AS x_back, CAST(round(ScanAngleRank / 0.006e0) AS INTEGER) AS angle_raw FROM points")
 def quantize_roundtrip(p: DataFrame) -> DataFrame:
     raw = F.round((F.col("X") - 9.0) / 0.01).cast("int")
-    return p.select("l_orderkey", "l_linenumber", raw.alias("x_raw"), F.round(raw * F.lit(0.01) + 9.0, 4).alias("x_back"), F.round(F.col("ScanAngleRank") / schema.ANGLE_STEP).cast("int").alias("angle_raw"))
+    return p.select("l_orderkey", "l_linenumber", raw.alias("x_raw"), stats.rounded(raw * F.lit(0.01) + 9.0, 4).alias("x_back"), F.round(F.col("ScanAngleRank") / schema.ANGLE_STEP).cast("int").alias("angle_raw"))
 
 
 @_query("flags_pack_unpack", "SELECT l_orderkey, l_linenumber, Synthetic_flag + 2 * Keypoint_flag + 4 * Withheld_flag + 8 * Overlap_flag AS packed, Withheld_flag AS withheld, Overlap_flag AS overlap FROM points")
@@ -245,7 +245,7 @@ def octree_nodes(p: DataFrame) -> DataFrame:
 
 @_query("node_bounds", f"{_CUBE}{_nodes_sql('n', 3)} SELECT x, y, z, round(xmin, 4) AS xmin, round(ymin, 4) AS ymin, round(zmin, 4) AS zmin, round(xmax, 4) AS xmax, round(ymax, 4) AS ymax, round(zmax, 4) AS zmax FROM n")
 def node_bounds(p: DataFrame) -> DataFrame:
-    return _nodes(p, 3).select("x", "y", "z", *(F.round(c, 4).alias(c) for c in ("xmin", "ymin", "zmin", "xmax", "ymax", "zmax")))
+    return _nodes(p, 3).select("x", "y", "z", *(stats.rounded(c, 4).alias(c) for c in ("xmin", "ymin", "zmin", "xmax", "ymax", "zmax")))
 
 
 #: A level by a hash of the order key: 3 in 64 points at level 0, and so on.
@@ -274,7 +274,7 @@ _MEETS = "n.xmin <= w.xmax AND n.xmax >= w.xmin AND n.ymin <= w.ymax AND n.ymax
 def estimate_points(p: DataFrame) -> DataFrame:
     i, j = F.col("id") % 4, F.floor(F.col("id") / 4)
     w = p.sparkSession.range(16).select(F.col("id").alias("window_id"), (i * 250.0).alias("xmin"), (j * 250.0).alias("ymin"), (i * 250.0 + 240.0).alias("xmax"), (j * 250.0 + 240.0).alias("ymax"))
-    return tiling.estimate(_nodes(p, 5), w).withColumn("density", F.round("density", 8))
+    return tiling.estimate(_nodes(p, 5), w).withColumn("density", stats.rounded("density", 8))
 
 
 @_query(
@@ -283,7 +283,7 @@ def estimate_points(p: DataFrame) -> DataFrame:
 )
 def density(p: DataFrame) -> DataFrame:
     one = p.sparkSession.range(1).select(F.lit(0).alias("window_id"), F.lit(200.0).alias("xmin"), F.lit(100.0).alias("ymin"), F.lit(500.0).alias("xmax"), F.lit(500.0).alias("ymax"))
-    return tiling.estimate(_nodes(p, 5), one).select("estimated_points", "num_nodes", "area", F.round("density", 8).alias("density"))
+    return tiling.estimate(_nodes(p, 5), one).select("estimated_points", "num_nodes", "area", stats.rounded("density", 8).alias("density"))
 
 
 _MOST, _DEEPEST = 8000, 4
@@ -352,7 +352,7 @@ def tiles_points_capped(p: DataFrame) -> DataFrame:
 @_query("tile_metrics", f", {_TILES} SELECT tile_id, count(*) AS n, round(avg(Z), 6) AS z_mean, max(Z) AS z_max, round(quantile_cont(Z, 0.95), 6) AS z_p95, round(avg(CASE WHEN Z > 2 THEN 1.0e0 ELSE 0.0e0 END), 6) AS cover FROM points JOIN t ON X BETWEEN rxmin AND rxmax AND Y BETWEEN rymin AND rymax GROUP BY tile_id")
 def tile_metrics(p: DataFrame) -> DataFrame:
     m = tiling.metrics(_GRID.assign(p.select("X", "Y", "Z")))
-    return m.select("tile_id", "n", F.round("z_mean", 6).alias("z_mean"), "z_max", F.round("z_p95", 6).alias("z_p95"), F.round("cover", 6).alias("cover"))
+    return m.select("tile_id", "n", stats.rounded("z_mean", 6).alias("z_mean"), "z_max", stats.rounded("z_p95", 6).alias("z_p95"), stats.rounded("cover", 6).alias("cover"))
 
 
 _CHUNKS = tiling.Grid.aligned((9.0, 0.0, 1049.9, 999.5), 200)
@@ -369,7 +369,7 @@ def chunk_apply_mean_z(p: DataFrame) -> DataFrame:
     import pandas as pd
 
     out = apply.chunk_apply(p.select("X", "Y", "Z"), lambda t, chunk: pd.DataFrame({"n": [len(t)], "z_mean": [t["Z"].mean()]}), "n long, z_mean double", _CHUNKS, 15)
-    return out.withColumn("z_mean", F.round("z_mean", 4))
+    return out.withColumn("z_mean", stats.rounded("z_mean", 4))
 
 
 @_query(
@@ -412,7 +412,7 @@ SELECT CAST(file AS VARCHAR) AS file, gr * nx + gc + 1 AS chunk_id, count(*) AS
 def catalog_apply(p: DataFrame) -> DataFrame:
     of_file = p.withColumn("file", F.col("l_suppkey") % 6).where("X BETWEEN 100 * file AND 100 * file + 300").select("file", "X", "Y", "Z")
     out = apply.file_apply(of_file, _files(p), lambda t, chunk: pd.DataFrame({"n": [len(t)], "z_mean": [t["Z"].mean()]}), "n long, z_mean double", 120, 10)
-    return out.withColumn("z_mean", F.round("z_mean", 4))
+    return out.withColumn("z_mean", stats.rounded("z_mean", 4))
 
 
 @_query("chunk_file_overlap", f", {_FILES}, {_CHUNK_SQL} SELECT tile_id, file FROM t JOIN f ON f.xmin < t.xmax AND f.xmax > t.xmin AND f.ymin < t.ymax AND f.ymax > t.ymin")
@@ -448,18 +448,18 @@ _STATS = ("Z", "Intensity", "Classification", "UserData", "NumberOfReturns")
     " UNION ALL ".join(f"SELECT {k} AS position, '{c}' AS name, count({c}) AS count, CAST(min({c}) AS DOUBLE) AS minimum, CAST(max({c}) AS DOUBLE) AS maximum, round(avg({c}), 4) AS average, round(stddev_samp({c}), 4) AS stddev, round(var_samp({c}), 2) AS variance FROM points" for k, c in enumerate(_STATS)),
 )
 def attribute_stats(p: DataFrame) -> DataFrame:
-    return stats.attributes(p.select(*_STATS), 4).withColumn("variance", F.round("variance", 2))
+    return stats.attributes(p.select(*_STATS), 4).withColumn("variance", stats.rounded("variance", 2))
 
 
 @_query("raster_cells", "SELECT CAST(floor(X / 50) AS BIGINT) AS cx, CAST(floor(Y / 50) AS BIGINT) AS cy, max(Z) AS zmax, round(avg(Z), 6) AS zmean, count(*) AS n, round(avg(CASE WHEN Z > 2 THEN 1.0e0 ELSE 0.0e0 END), 6) AS above2 FROM points GROUP BY 1, 2")
 def raster_cells(p: DataFrame) -> DataFrame:
-    return tiling.cells(p, 50).withColumns({"zmean": F.round("zmean", 6), "above2": F.round("above2", 6)})
+    return tiling.cells(p, 50).withColumns({"zmean": stats.rounded("zmean", 6), "above2": stats.rounded("above2", 6)})
 
 
 @_query("raster_mosaic", "SELECT CAST(floor(X / 100) AS BIGINT) AS cx, round(sum(CASE WHEN Y <= 500 THEN 1 ELSE 0 END) / count(DISTINCT (Y <= 500)) + sum(CASE WHEN Y > 500 THEN 1 ELSE 0 END) / count(DISTINCT (Y <= 500)), 6) AS n FROM points GROUP BY 1")
 def raster_mosaic(p: DataFrame) -> DataFrame:
     parts = p.groupBy(F.floor(F.col("X") / 100).alias("cx"), (F.col("Y") <= 500).alias("half")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return apply.mosaic(parts, ("cx",), "n").withColumn("n", F.round("n", 6))
+    return apply.mosaic(parts, ("cx",), "n").withColumn("n", stats.rounded("n", 6))
 
 
 @_query("merge_fill", "SELECT l_orderkey, X, Z, Intensity, CAST(NULL AS INTEGER) AS NIR FROM points WHERE X < 200 UNION ALL SELECT l_orderkey, X, Z, NULL, NIR FROM points WHERE X >= 1000")
@@ -537,7 +537,7 @@ _HALF = "CASE WHEN greatest(xmax - xmin, ymax - ymin, zmax - zmin) / 2 < 1e-6 TH
 def header_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All points in octree files, a file for each tile; what their headers say."""
     paths = _octree_files(points(spark, sf_dir), _folder(spark, "header"), 250)
-    return catalog.Catalog.of(spark, paths).files.drop("file").withColumns({c: F.round(c, 6) for c in ("spacing", "halfsize")})
+    return catalog.Catalog.of(spark, paths).files.drop("file").withColumns({c: stats.rounded(c, 6) for c in ("spacing", "halfsize")})
 
 
 @_query("octree_file_scan", "SELECT round(X, 4) AS X, round(Y, 4) AS Y, round(Z, 4) AS Z, Intensity, Classification FROM points WHERE X BETWEEN 200 AND 600 AND Y BETWEEN 10 AND 700", own=True)
@@ -548,7 +548,7 @@ def octree_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _octree_files(points(spark, sf_dir), _folder(spark, "scan"), 250)
     datasource.register(spark)
     df = spark.read.format("cairn_octree").option("path", json.dumps(paths)).option("bbox", "200,10,600,700").option("select", "ic").load()
-    return df.select(*(F.round(c, 4).alias(c) for c in "XYZ"), "Intensity", "Classification")
+    return df.select(*(stats.rounded(c, 4).alias(c) for c in "XYZ"), "Intensity", "Classification")
 
 
 @_query("vpc_roundtrip", _tiles_with("CAST(tx AS VARCHAR) || '_' || CAST(ty AS VARCHAR) || '.copc.las' AS file, xmin, ymin, xmax, ymax, points, CAST(8 AS INTEGER) AS point_format", 500), own=True)

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cairn import schema
+from cairn import queries, schema
 from cairn.cloud import PointCloud
 from cairn.functions import geometry, octree
 from cairn.functions.geometry import Area
@@ -275,3 +275,19 @@ def test_streams(spark, tmp_path):
     assert landing.timed_counts(df).agg(F.sum("n")).first()[0] == 400
     with pytest.raises(ValueError):
         landing.arriving(spark, str(tmp_path / "in"), df.schema, "-keep_voxel 2")
+
+
+def test_catalog_apply_as_its_sql(spark, tmp_path):
+    """Means whose fifth decimal is a 5, and points on the edge of a chunk's buffer, as SQL has them."""
+    duckdb = pytest.importorskip("duckdb")
+    tie = [(6, 1000.0, 25.0 + (k < 339)) for k in range(800)]  # the mean is 25.42375
+    edges = [(1, price, 10.0) for price in (12286.74, 35286.74, 38000.0)]  # X of the second is 2 * 120 - 10 above that of the first
+    rows = [(k, supplier, price, z) for k, (supplier, price, z) in enumerate(tie + edges)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_extendedprice double, l_quantity double")
+    lines = lines.selectExpr("*", "0L AS l_partkey", "1 AS l_linenumber", "0D AS l_discount", "0D AS l_tax", "'N' AS l_returnflag", "'O' AS l_linestatus", "TIMESTAMP_NTZ'1995-01-01' AS l_shipdate")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {tuple(r) for r in queries.queries()["catalog_apply"](spark, str(tmp_path)).select("file", "chunk_id", "n", "z_mean").collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == set(c.execute(f"SELECT file, chunk_id, n, z_mean FROM ({queries.oracle_sql()['catalog_apply']})").fetchall())
+    assert ("0", 1, 800, 25.4237) in got and ("1", 3, 2, 10.0) in got
