@@ -17,8 +17,7 @@ from . import schema
 from .functions import geometry, octree
 from .operators import apply, areas, catalog, pyramid, stats, thinning, tiling
 from .plans.filters import Filter
-from .sources import las, store, vpc
-from .sources.ranges import created
+from .sources import store, tiled, vpc
 from .sources.lineitem import DUCKDB_EPOCH, ORDER, POINTS_SQL, points
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -511,19 +510,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _octree_files(p: DataFrame, folder: str, size: float) -> list[str]:
-    """All points as octree files, one for each square tile that has any; each is written by the task that has the tile."""
-    columns, by = list(schema.CORE), list(ORDER.columns)
-
-    def write(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(by)
-        path = f"{folder}/{key[0]}_{key[1]}.copc.las"
-        with created(path) as f:
-            las.write(f, {c: t[c].to_numpy() for c in columns}, header=las.Header(scale=(0.0001,) * 3), wkt='PROJCS["local"]')
-        return pd.DataFrame({"path": [path]})
-
-    tile = [F.floor(F.col(c) / size).cast("bigint").alias(f"__{c}") for c in "XY"]
-    found = p.select(*dict.fromkeys([*by, *columns]), *tile).groupBy("__X", "__Y").applyInPandas(write, "path string")
-    return sorted(r["path"] for r in found.collect())  # a row for each tile
+    """All points as octree files, one for each square tile that has any."""
+    return tiled.write(p, folder, size, ORDER, list(schema.CORE), (0.0001,) * 3, 'PROJCS["local"]')
 
 
 def _tiles_with(columns: str, size: int) -> str:

@@ -116,14 +116,18 @@ def opened(path: str) -> BinaryIO:
 
 
 @contextmanager
-def created(path: str) -> Iterator[BinaryIO]:
-    """A file that can be written and searched; it has its name once it is whole. On stores without search it is held until then."""
+def created(path: str, sequential: bool = False) -> Iterator[BinaryIO]:
+    """A file that can be written and searched; it has its name once it is whole. On stores without search it is held until then,
+    but if it is only written on and on."""
     store, there = _store(path)
     store.create_dir(os.path.dirname(there), recursive=True)
     own = f"{there}.{uuid.uuid4().hex}"
     if isinstance(store, fs.LocalFileSystem):
         with open(own, "w+b") as f:
             yield f
+    elif sequential:
+        with store.open_output_stream(own) as f:
+            yield f
     else:
         f = io.BytesIO()
         yield f
@@ -142,3 +146,9 @@ def listed(folder: str) -> list[str]:
 def removed(path: str) -> None:
     store, there = _store(path)
     store.delete_file(there)
+
+
+def removed_folder(path: str) -> None:
+    """With all that is in it."""
+    store, there = _store(path)
+    store.delete_dir(there)

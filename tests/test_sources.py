@@ -419,3 +419,27 @@ def test_store(spark, folder, tmp_path, layout):
     plan = store.read(spark, path, max_depth=0)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "level" in plan.split("PartitionFilters")[1].split("]")[0]
     assert store.read(spark, path, resolution=1e9).count() == few
+
+
+def test_no_task_holds_a_tile(spark, tmp_path, monkeypatch):
+    """Files of tiles are packed as their points stream by, in several parts, and are those that one write of a tile gives."""
+    from pyspark.sql import GroupedData
+
+    from cairn import queries, schema
+
+    grouped, apply = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: grouped.append(self._df.columns) or apply(self, *a))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        p = queries.points(spark, "/root/testdata/sf0.001")
+        paths = queries._octree_files(p, str(tmp_path / "files"), 600)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not any({"X", "Y"} & set(columns) for columns in grouped)
+    assert sorted(os.listdir(tmp_path / "files")) == [os.path.basename(f) for f in paths] and len(paths) == 2
+    t = p.where(F.col("X") < 600).where(F.col("Y") < 600).toPandas().sort_values(list(queries.ORDER.columns))
+    with open(tmp_path / "one.copc.las", "w+b") as f:
+        las.write(f, {c: np.asarray(t[c]) for c in schema.CORE}, header=las.Header(scale=(0.0001,) * 3), wkt='PROJCS["local"]')
+    assert (tmp_path / "one.copc.las").read_bytes() == open(paths[0], "rb").read()
