@@ -12,10 +12,11 @@ Texts with equal shingle sets (128 bits of the set) are one class from the start
 Within a bucket of classes pairs aren't all written: every class is held against the bucket's leader (the class that shares
 most keys with others), a link joins components, the leader leaves the bucket (its links are all known), and a bucket whose
 classes are in one component is done. What is left are classes near a group but not in it. They get a second signature of
-WIDE 2-bit symbols, and the buckets are joined with themselves, block by block, on the distance of those, which lets through
-pairs just below the similarity at the lowest (a linked pair is missed with a chance of one in a million). Links are
-confirmed on the full sets. So a bucket of n near copies makes about n pairs, not n * n, and no link between different
-texts is lost. Every join is between distributed tables; rows of a large bucket, and pairs with one text, are dealt into parts
+WIDE 2-bit symbols, and the buckets' blocks are compared in memory on the distance of those, which lets through
+pairs just below the similarity at the lowest (a linked pair is missed with a chance of one in a million). Such pairs aren't
+written: a class near a component visits it, and is held against its classes on the full sets. Links are
+confirmed on the full sets. So a bucket of n near copies makes about n pairs, not n * n, and no component differs for
+it. Every join is between distributed tables; rows of a large bucket, and pairs with one text, are dealt into parts
 by how many they are.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and stays. A row without doc_id is
@@ -49,6 +50,8 @@ _LONGS = WIDE // 32
 LANE, LANES = 16, 4
 #: Rows of a bucket, and pairs with one text, that stay together; a larger number is dealt into parts.
 TOGETHER, BLOCK = 50_000, 2000
+#: Rows of a bucket's block where second signatures are compared, and pairs at a time; members and visitors that meet in a group.
+NEAR, COMPARED, MET = 500, 50_000, 100
 
 
 @dataclass(frozen=True)
@@ -283,32 +286,132 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         at = new
 
 
-def _close_pairs(active: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
-    """a, b of all pairs in a bucket, but not in a component, whose second signatures are close; written.
+def _sent(few: DataFrame) -> DataFrame:
+    """A written table, to be sent to the executors while it is small."""
+    return F.broadcast(few) if few.count() <= SENT_IDS else few
+
+
+def _differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many symbols rows of second signatures differ."""
+    x = one ^ two
+    return np.bitwise_count((x | x >> _U(1)) & _U(0x5555555555555555)).sum(1, dtype=np.int64)
+
+
+def _visiting(how: NearDup):
+    """Of rows (key, p, q, second, cid, comp, size, signature) in the order of key, p, q: which class (cid) is near a class of which
+    other component (comp). The class of the smaller component visits the larger one."""
+    quarter = _LONGS // 4
+    few, most = _wide_errors(how, WIDE // 4, 6), _wide_errors(how, WIDE, 5)
+
+    def met(ids: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        second, cid, comp, size = ids[:, 3], ids[:, 4], ids[:, 5], ids[:, 6]
+        within = ids[0, 1] == ids[0, 2]
+        one = np.arange(len(ids)) if within else np.flatnonzero(second == 0)
+        two = one if within else np.flatnonzero(second == 1)
+        out, step = [], max(1, COMPARED // max(1, len(two)))
+        for k in range(0, len(one), step):
+            i, j = np.nonzero(comp[one[k : k + step], None] != comp[two])
+            i, j = one[i + k], two[j]
+            if within:
+                i, j = i[i < j], j[i < j]
+            # Most pairs differ too much in the first quarter already.
+            near = _differ(wide[i, :quarter], wide[j, :quarter]) <= few
+            i, j = i[near], j[near]
+            near = _differ(wide[i], wide[j]) <= most
+            i, j = i[near], j[near]
+            visits = (size[i] < size[j]) | (size[i] == size[j]) & (comp[i] > comp[j])
+            out.append(np.column_stack([cid[np.where(visits, i, j)], comp[np.where(visits, j, i)]]))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
-    A bucket is cut into blocks of BLOCK rows at most, and each pair of blocks meets in a task of its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, wide = np.zeros((0, 7), np.int64), np.zeros((0, _LONGS), _U)
+
+        def done(until: int) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.any(np.diff(ids[:until, :3], axis=0), 1)) + 1
+            found = [met(ids[i:j], wide[i:j]) for i, j in zip([0, *cuts], [*cuts, until], strict=True) if j - i > 1]
+            found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["cid", "comp"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            ids, wide = np.concatenate([ids, np.column_stack(columns[:7])]), np.concatenate([wide, np.column_stack(columns[7:]).view(_U)])
+            # The last group may go on in the next batch.
+            before = np.flatnonzero(np.any(ids[:, :3] != ids[-1, :3], axis=1))
+            if len(before):
+                until = int(before[-1]) + 1
+                yield done(until)
+                ids, wide = ids[until:], wide[until:]
+        if len(ids):
+            yield done(len(ids))
+
+    return run
+
+
+def _received(how: NearDup):
+    """Of rows (comp, m, v, visits, cid, text) in the order of the first four, members before visitors: for each visitor the member
+    that is most similar to it, if their full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, sets, starts, whole = None, [], [], None, None
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(5)), strict=True))
+            data, at = T.buffers(b.column(5))
+            links = []
+            for i, j in T.pieces(at):
+                h, rows = shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], how.words)
+                for r in range(i, j):
+                    *here, visits, cid = keys[r]
+                    own = h[rows[r - i] : rows[r - i + 1]]
+                    if here != group:
+                        group, members, sets, whole = here, [], [], None
+                    if not visits:
+                        members.append(cid)
+                        sets.append(own)
+                        continue
+                    if not members or not len(own):
+                        continue
+                    if whole is None:
+                        whole, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+                        starts = np.cumsum(sizes) - sizes
+                    both = np.add.reduceat(own[np.minimum(np.searchsorted(own, whole), len(own) - 1)] == whole, starts, dtype=np.int64)
+                    union = sizes + len(own) - both
+                    linked = np.flatnonzero((both > 0) & (100 * both >= how.percent * union))
+                    if len(linked):
+                        links.append((cid, members[linked[np.argmax(both[linked] / union[linked])]]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _joining(active: DataFrame, texts: DataFrame, how: NearDup) -> DataFrame:
+    """Links (a, b) that join the components whose classes meet in a bucket; written.
+
+    Pairs of classes aren't written. Buckets are cut into blocks of NEAR rows, and a task that holds two of them says which class is
+    near which other component, by the second signatures. Such a class visits the component: it is held against all of its
+    classes that are left in buckets, on the full sets, and gives one link for each part of them at most."""
     names = [f"w{k}" for k in range(_LONGS)]
-    left = active.select("cid").distinct()
-    wide = written(texts.join(left, "cid", "left_semi").select("cid", "t").mapInArrow(_widely_signed(how), ", ".join(f"{c} long" for c in ["cid", *names])), "wide")
-    keys = active.groupBy("cid").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    blocks = active.groupBy("key").agg(_parts(F.count(F.lit(1)), BLOCK).alias("blocks"))
-    one = active.select("key", "cid", "comp").join(wide.join(keys, "cid"), "cid").join(blocks, "key")
-    one = one.withColumn("mine", _part("cid", F.col("blocks")))
-    two = one.withColumnsRenamed({"cid": "b", "comp": "comp_b", "keys": "okeys"} | {c: f"o{c}" for c in names})
-    zero, last = F.lit(0).cast("long"), F.col("blocks") - 1
-    one = one.select("*", F.col("mine").alias("p"), F.explode(F.sequence(F.col("mine"), last)).alias("q")).drop("mine", "blocks")
-    two = two.select("*", F.explode(F.sequence(zero, F.col("mine"))).alias("p"), F.col("mine").alias("q")).drop("mine", "blocks")
-    # Of each symbol that differs, the lower bit is set.
-    apart = [f"bit_count(({c} ^ o{c} | shiftrightunsigned({c} ^ o{c}, 1)) & 6148914691236517205L)" for c in names]
-    first, rest = " + ".join(apart[: _LONGS // 4]), " + ".join(apart)
-    # Most pairs differ too much in the first quarter already.
-    close = f"{first} <= {_wide_errors(how, WIDE // 4, 6)} and {rest} <= {_wide_errors(how, WIDE, 5)}"
-    pairs = one.join(two, ["key", "p", "q"]).where(f"(p < q or cid > b) and comp <> comp_b and {close}")
-    # A pair that meets in several buckets is taken in the first.
-    pairs = pairs.where("array_intersect(keys, okeys)[0] = key")
-    out = written(pairs.select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b")).distinct(), "candidates")
+    members = written(active.select("cid", "comp").distinct(), "members")
+    wide = written(texts.join(members.select("cid"), "cid", "left_semi").select("cid", "t").mapInArrow(_widely_signed(how), ", ".join(f"{c} long" for c in ["cid", *names])), "wide")
+    several = written(members.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "several")
+    blocks = active.groupBy("key").agg(_parts(F.count(F.lit(1)), NEAR).alias("blocks"))
+    rows = active.select("key", "cid", "comp").join(wide, "cid").join(blocks, "key").join(_sent(several), "comp", "left")
+    rows = rows.withColumn("size", F.coalesce("size", F.lit(1).cast("long"))).withColumn("mine", _part("cid", F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other")}).withColumn("second", (F.col("mine") != F.col("p")).cast("long"))
+    rows = rows.select("key", "p", "q", "second", "cid", "comp", "size", *names).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    visits = written(rows.mapInArrow(_visiting(how), "cid long, comp long").distinct(), "visits")
     forget(wide)
-    return out
+    many = visits.groupBy("comp").agg(_parts(F.count(F.lit(1)), MET).alias("vs"))
+    plan = written(many.join(_sent(several), "comp", "left").select("comp", "vs", _parts(F.coalesce("size", F.lit(1)), MET).alias("ms")), "plan")
+    till = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    ours = members.join(_sent(plan), "comp").join(texts, "cid").select("comp", _part("cid", F.col("ms")).alias("m"), till("vs").alias("v"), F.lit(False).alias("visits"), "cid", "t")
+    theirs = visits.join(_sent(plan), "comp").join(texts, "cid").select("comp", till("ms").alias("m"), _part("cid", F.col("vs")).alias("v"), F.lit(True).alias("visits"), "cid", "t")
+    both = ours.union(theirs).repartition("comp", "m", "v").sortWithinPartitions("comp", "m", "v", "visits")
+    links = written(both.mapInArrow(_received(how), "a long, b long"), "links")
+    forget(members, several, visits, plan)
+    return links
 
 
 def _also(old: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -356,8 +459,7 @@ def _linked_classes(docs: DataFrame, how: NearDup) -> tuple[DataFrame, DataFrame
             break
         leads *= 4
     if left:
-        close = _close_pairs(active, texts, how)
-        links = _also(links, _linked(close, texts, how))
+        links = _also(links, _joining(active, texts, how))
     forget(texts, active)
     return signs, classes, links
 

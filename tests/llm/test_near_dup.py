@@ -214,6 +214,48 @@ def test_large_buckets_in_parts(spark, monkeypatch):
         assert found(N.near_duplicates(docs, N.QUERY)) == brute(rows, N.QUERY)
 
 
+def test_texts_near_a_group_make_few_rows(spark, monkeypatch):
+    """Texts that are near all of a group, some linked with one of it, most with none, meet the group and not each of its texts."""
+    r, wrote, written = random.Random(8), [], N.written
+
+    def seen(df, tag):
+        out = written(df, tag)
+        wrote.append((tag, out.count()))
+        return out
+
+    def changed(k, words, at):
+        words = list(words)
+        for i in at:
+            words[i] = f"new{k}x{i}"
+        return " ".join(words)
+
+    base = prose(r, 400).split()[:200]
+    rows = [(k, changed(k, base, r.sample(range(200), 1))) for k in range(40)]
+    rows += [(100 + k, changed(100 + k, base, r.sample(range(200), 6 if k % 5 else 4))) for k in range(30)]
+    monkeypatch.setattr(N, "written", seen)
+    for met in (7, 100):
+        monkeypatch.setattr(N, "MET", met)
+        wrote.clear()
+        assert found(N.near_duplicates(documents(spark, rows), N.QUERY)) == brute(rows, N.QUERY)
+        rest = wrote[[tag for tag, _ in wrote].index("links") + 1 :]
+        assert 0 < max(n for tag, n in rest if tag in ("candidates", "dealt", "visits", "links")) <= 3 * len(rows)
+
+
+def test_blocks_of_second_signatures(spark, monkeypatch):
+    """Blocks and groups of a few rows, over many batches."""
+    for name, value in {"NEAR": 6, "COMPARED": 4, "MET": 3, "SENT_IDS": 0}.items():
+        monkeypatch.setattr(N, name, value)
+    r = random.Random(16)
+    base = prose(r, 60)
+    rows = [(k, edited(r, base, r.randint(0, 6))) for k in range(70)] + [(200 + k, base) for k in range(20)]
+    monkeypatch.setattr(N, "bound_batches", lambda spark: None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert found(N.near_duplicates(documents(spark, rows), N.QUERY)) == brute(rows, N.QUERY)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_distance_counts_symbols(spark):
     how = N.QUERY
     r = np.random.default_rng(3)
